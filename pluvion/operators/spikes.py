@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvion.operators.halo import with_halo
+from pluvion.session import cut
 
 
 @dataclass(frozen=True)
@@ -22,15 +23,17 @@ class Quantity:
     low: float
     high: float
     least: float  #: an excursion below this is never a spike (resolution and ordinary weather of the quantity)
+    sure: float  #: an excursion above this is always one, whatever the fitted tail says
     free_below: float | None = None  #: values below this never count as stuck
+    far: float | None = None  #: further than this from the source's usual value: impossible there, or in another unit
     risk: float = 1e-4  #: share of ordinary readings allowed beyond the cut-off
 
 
 FIELDS = {
-    "precip_raw_mm": Quantity(0.0, 200.0, 12.0, free_below=1.0),
-    "temp_raw_c": Quantity(-35.0, 55.0, 6.0),
-    "wind_gust_raw": Quantity(0.0, 150.0, 18.0, free_below=1e-9),
-    "pressure_raw_hpa": Quantity(650.0, 1090.0, 6.0),
+    "precip_raw_mm": Quantity(0.0, 200.0, 10.0, 24.0, free_below=1.0),
+    "temp_raw_c": Quantity(-35.0, 55.0, 4.5, 12.0, far=30.0),
+    "wind_gust_raw": Quantity(0.0, 150.0, 18.0, 35.0, free_below=1e-9),
+    "pressure_raw_hpa": Quantity(650.0, 1090.0, 3.5, 9.0, far=80.0),
 }
 RUN = 3
 STUCK = 8
@@ -68,28 +71,28 @@ def _excursion(own: Column, around: dict[int, Column]) -> Column:
     return F.coalesce(F.greatest(*runs), F.lit(0.0))
 
 
-def pot_cutoffs(excursions: DataFrame, fields: dict[str, Quantity], tail: float = 0.9) -> DataFrame:
+def pot_cutoffs(excursions: DataFrame, fields: dict[str, Quantity], tail: float = 0.5) -> DataFrame:
     """Per (station_id, field): cut-off of the generalised Pareto tail at the fixed risk.
 
     Threshold u: the ``tail`` quantile of positive excursions.  Shape and scale come from the 50 % and 75 % points of
     the excesses, which the spikes themselves (well under a quarter of the excesses) cannot move far:
-    xi = log2(q75 / q50 - 1), sigma = xi q50 / (2^xi - 1).  The cut-off is the point whose share of all readings is
-    ``risk``, and never below the quantity's ``least``.  Sketches with bounded memory, combined before the shuffle.
+    xi = log2(q75 / q50 - 1), held within -0.5 and 0.2, sigma = xi q50 / (2^xi - 1).  The cut-off is the point whose
+    share of all readings is ``risk``, and lies between the quantity's ``least`` and ``sure``.  Sketches with bounded memory, combined before the shuffle.
     """
     keys = ["station_id", "field"]
     sketch = excursions.filter("e > 0").groupBy(*keys).agg(F.percentile_approx("e", [tail, 1 - (1 - tail) / 2, 1 - (1 - tail) / 4], 10_000).alias("q"), F.count("*").alias("pos"))
     total = excursions.groupBy(*keys).agg(F.count("*").alias("n"))
     fit = total.join(sketch, keys, "left").select(*keys, "n", F.coalesce("pos", F.lit(0)).alias("pos"), F.get("q", F.lit(0)).alias("u"), *[(F.get("q", F.lit(i)) - F.get("q", F.lit(0))).alias(f"x{i}") for i in (1, 2)])
-    fit = fit.withColumn("xi", F.when((F.col("x1") > 0) & (F.col("x2") > F.col("x1")), F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.log2(F.col("x2") / F.col("x1") - 1)))))
+    fit = fit.withColumn("xi", F.when((F.col("x1") > 0) & (F.col("x2") > F.col("x1")), F.greatest(F.lit(-0.5), F.least(F.lit(0.2), F.log2(F.col("x2") / F.col("x1") - 1)))))
     fit = fit.withColumn("xi", F.when(F.abs("xi") < 0.01, 0.01).otherwise(F.col("xi"))).withColumn("sigma", F.col("xi") * F.col("x1") / (F.pow(F.lit(2.0), "xi") - 1))
     share = (1 - tail) * F.col("pos") / F.col("n")
     beyond = F.col("u") + F.col("sigma") / F.col("xi") * (F.pow(share / _per_field(fields, lambda q: q.risk), F.col("xi")) - 1)
     least = _per_field(fields, lambda q: q.least)
-    return fit.select(*keys, F.greatest(least, F.coalesce(beyond, F.col("u"), least)).alias("cutoff"))
+    return fit.select(*keys, F.least(_per_field(fields, lambda q: q.sure), F.greatest(least, F.coalesce(beyond, F.col("u"), least))).alias("cutoff"))
 
 
-def implausible(df: DataFrame, fields: dict[str, Quantity] = FIELDS, taken_ms: str = "t_ms") -> DataFrame:
-    """(ingest_order, field, reason) of spikes, stuck values and impossible readings; reasons 'impossible', 'stuck', 'spike'.
+def judged_readings(df: DataFrame, fields: dict[str, Quantity] = FIELDS, taken_ms: str = "t_ms") -> DataFrame:
+    """Every reading (ingest_order, station_id, field, t, v) with its excursion, cut-off and reason: 'impossible', 'stuck', 'spike' or NULL.
 
     A station's course holds one reading an instant: of rows with the same instant, a plausible one before others, then
     the first received.  Every row is judged by its own value against the course around its instant.  Rows without a
@@ -98,10 +101,11 @@ def implausible(df: DataFrame, fields: dict[str, Quantity] = FIELDS, taken_ms: s
     with a third of all rows is spread; empty tables give no rows.
     """
     low, high = _per_field(fields, lambda q: q.low), _per_field(fields, lambda q: q.high)
-    rows = melt(df, fields, taken_ms).withColumn("bad", (F.col("v") < low) | (F.col("v") > high))
+    base = cut(df.select("ingest_order", "station_id", taken_ms, *fields))  # read several times below
+    rows = melt(base, fields, taken_ms).withColumn("bad", (F.col("v") < low) | (F.col("v") > high))
     keys = ["station_id", "field"]
     course = rows.groupBy(*keys, "t").agg(F.min(F.struct("bad", "ingest_order", "v")).alias("c")).select(*keys, "t", F.col("c.v").alias("v"), F.col("c.bad").alias("bad"))
-    course = course.withColumn("week", F.expr(f"floor(t / {BUCKET_MS})"))
+    course = cut(course.withColumn("week", F.expr(f"floor(t / {BUCKET_MS})")))
     hour = F.expr("pmod(floor(t / 3600000), 24)")
     daily = course.filter("NOT bad").groupBy(*keys, hour.alias("hour")).agg(F.percentile_approx("v", 0.5, 1000).alias("usual"))
     # stuck: some eight successive readings around this one are equal
@@ -116,10 +120,17 @@ def implausible(df: DataFrame, fields: dict[str, Quantity] = FIELDS, taken_ms: s
     near = {**{-i: F.lag("r", i).over(line) for i in range(1, RUN + 1)}, **{i: F.lead("r", i).over(line) for i in range(1, RUN + 1)}}
     sound = sound.withColumns({f"r{'m' if i < 0 else 'p'}{abs(i)}": c for i, c in near.items()}).filter("NOT __halo")
     around = {i: F.col(f"r{'m' if i < 0 else 'p'}{abs(i)}") for i in near}
-    sound = sound.withColumn("e", _excursion(F.col("r"), around))
-    cut = pot_cutoffs(sound.select(*keys, "e"), fields)
+    sound = cut(sound.select(*keys, "t", "usual", *[c for c in sound.columns if c[:2] in ("rm", "rp")], _excursion(F.col("r"), around).alias("e")))
+    cutoffs = pot_cutoffs(sound.select(*keys, "e"), fields)
     context = sound.select(*keys, "t", "usual", *[f"r{'m' if i < 0 else 'p'}{abs(i)}" for i in near])
-    judged = rows.join(context, [*keys, "t"], "left").join(stuck, [*keys, "t"], "left").join(cut, keys, "left")
-    spike = ~F.col("bad") & (_excursion(F.col("v") - F.col("usual"), around) > F.col("cutoff"))
-    reason = F.when(F.col("bad"), "impossible").when(F.col("v") == F.col("stuck_v"), "stuck").when(spike, "spike")
-    return judged.select("ingest_order", "field", reason.alias("reason")).filter("reason IS NOT NULL")
+    judged = rows.join(context, [*keys, "t"], "left").join(stuck, [*keys, "t"], "left").join(cutoffs, keys, "left")
+    judged = judged.withColumn("excursion", _excursion(F.col("v") - F.col("usual"), around))
+    spike = F.col("excursion") > F.col("cutoff")
+    far = F.coalesce(F.abs(F.col("v") - F.col("usual")) > _per_field(fields, lambda q: q.far), F.lit(False))
+    reason = F.when(F.col("bad") | far, "impossible").when(F.col("v") == F.col("stuck_v"), "stuck").when(spike, "spike")
+    return judged.select("ingest_order", *keys, "t", "v", "excursion", "cutoff", reason.alias("reason"))
+
+
+def implausible(df: DataFrame, fields: dict[str, Quantity] = FIELDS, taken_ms: str = "t_ms") -> DataFrame:
+    """(ingest_order, field, reason): the judged readings that have a reason."""
+    return judged_readings(df, fields, taken_ms).filter("reason IS NOT NULL").select("ingest_order", "field", "reason")
