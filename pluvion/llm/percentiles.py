@@ -20,18 +20,26 @@ DIGIT_BITS = 16
 SIGN = np.int64(-(2**63))
 
 
-@F.pandas_udf("bigint")
-def ordered_key(v: pd.Series) -> pd.Series:
+def ordered_key(value: Column | str) -> Column:
     """Order-preserving integer of a double: as unsigned numbers, keys sort like the values (-0.0 counts as 0.0)."""
-    bits = (v.to_numpy(dtype=np.float64) + 0.0).view(np.int64)
-    return pd.Series(np.where(bits < 0, ~bits, bits | SIGN))
 
+    @F.pandas_udf("bigint")
+    def key(v: pd.Series) -> pd.Series:
+        bits = (v.to_numpy(dtype=np.float64) + 0.0).view(np.int64)
+        return pd.Series(np.where(bits < 0, ~bits, bits | SIGN))
 
-@F.pandas_udf("double")
-def key_value(k: pd.Series) -> pd.Series:
+    return key(value)
+
+
+def key_value(key: Column | str) -> Column:
     """The double of a key."""
-    bits = k.to_numpy(dtype=np.int64)
-    return pd.Series(np.where(bits < 0, bits & ~SIGN, ~bits).view(np.float64))
+
+    @F.pandas_udf("double")
+    def value(k: pd.Series) -> pd.Series:
+        bits = k.to_numpy(dtype=np.int64)
+        return pd.Series(np.where(bits < 0, bits & ~SIGN, ~bits).view(np.float64))
+
+    return value(key)
 
 
 def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
