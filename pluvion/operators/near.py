@@ -112,8 +112,8 @@ def within(questions: DataFrame, targets: DataFrame, radius_km: float, question_
     """
     chord = 2 * math.sin(min(radius_km / EARTH_KM, math.pi) / 2) * (1 + 1e-9) + 1e-12
     xyz = ["x", "y", "z"]
-    asked = unit_vectors(questions.select(F.col(question_id).alias("__q"), F.col(lat).alias("__la"), F.col(lon).alias("__lo")), "__la", "__lo").select("__q", *xyz)
-    there = unit_vectors(targets.select(F.col(target_id).alias("__t"), F.col(lat).alias("__la"), F.col(lon).alias("__lo")), "__la", "__lo").select("__t", *xyz)
+    asked = unit_vectors(questions.select(F.struct(F.col(question_id).alias("v")).alias("__q"), F.col(lat).alias("__la"), F.col(lon).alias("__lo")), "__la", "__lo").select("__q", *xyz)
+    there = unit_vectors(targets.select(F.struct(F.col(target_id).alias("v")).alias("__t"), F.col(lat).alias("__la"), F.col(lon).alias("__lo")), "__la", "__lo").select("__t", *xyz)
     depth = min(max_depth, max(0, math.ceil(math.log2(max(1, there.count()) / leaf_targets))))
     splits = fit_splits(there, depth)
     asked = asked.withColumn("leaf", leaf_of(splits, depth)(*xyz))
@@ -137,7 +137,7 @@ def within(questions: DataFrame, targets: DataFrame, radius_km: float, question_
         return pd.DataFrame({"q": q["__q"].to_numpy()[a[near]], "t": t["__t"].to_numpy()[b[near]], "distance_km": d[near]})
 
     out = asked.groupBy("leaf", "part").cogroup(there.groupBy("leaf", "part")).applyInPandas(join, f"q {kinds['__q']}, t {kinds['__t']}, distance_km double")
-    return out.select(F.col("q").alias(question_id), F.col("t").alias(target_id + "_near" if target_id == question_id else target_id), "distance_km")
+    return out.select(F.col("q.v").alias(question_id), F.col("t.v").alias(target_id + "_near" if target_id == question_id else target_id), "distance_km")
 
 
 def cell_edges(cells: DataFrame, half: float = 0.05, keys: tuple[str, ...] = ("lon_idx", "lat_idx")) -> DataFrame:
@@ -180,7 +180,7 @@ def containing(points: DataFrame, edges: DataFrame, point_id: str, lat: str = "l
     nothing, vertical edges never count, repeated points give repeated rows, empty sides give no rows.  The slabs'
     counts are at most 360 / ``slab_deg`` rows for the driver.
     """
-    p = points.select(F.col(point_id).alias("__p"), F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y")).filter("abs(x) <= 540 AND abs(y) <= 90").withColumn("slab", F.floor(F.col("x") / slab_deg).cast("int"))
+    p = points.select(F.struct(F.col(point_id).alias("v")).alias("__p"), F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y")).filter("abs(x) <= 540 AND abs(y) <= 90").withColumn("slab", F.floor(F.col("x") / slab_deg).cast("int"))
     ends = {"x1": F.least("x1", "x2"), "y1": F.when(F.col("x1") <= F.col("x2"), F.col("y1")).otherwise(F.col("y2")), "x2": F.greatest("x1", "x2"), "y2": F.when(F.col("x1") <= F.col("x2"), F.col("y2")).otherwise(F.col("y1"))}
     e = edges.filter("abs(x1) <= 540 AND abs(x2) <= 540 AND abs(y1) <= 90 AND abs(y2) <= 90 AND x1 <> x2").select("region", *[c.alias(k) for k, c in ends.items()])
     e = e.withColumn("slab", F.explode(F.sequence(F.floor(F.col("x1") / slab_deg).cast("int"), F.floor(F.col("x2") / slab_deg).cast("int"))))
@@ -198,4 +198,4 @@ def containing(points: DataFrame, edges: DataFrame, point_id: str, lat: str = "l
         return pd.DataFrame({"p": q["__p"].to_numpy()[a], "region": names[b]})
 
     out = p.groupBy("slab", "part").cogroup(e.groupBy("slab", "part")).applyInPandas(join, f"p {kind}, region string")
-    return out.select(F.col("p").alias(point_id), F.from_json("region", region).alias("region"))
+    return out.select(F.col("p.v").alias(point_id), F.from_json("region", region).alias("region"))

@@ -39,7 +39,7 @@ def smoothed_grid(bins: DataFrame, cells: DataFrame) -> DataFrame:
     """
     rows = bins.filter("fail = 0 AND minutes >= 15").join(stencil(cells), "station_id")
     weight = 1 + 0.1 * F.col("di") - 0.05 * F.col("dj")
-    return rows.groupBy((F.col("bin") + 1).alias("step"), "lon_idx", "lat_idx").agg(F.round(F.avg(F.col("mass") * 2 * weight), 6).alias("rate"))
+    return rows.groupBy((F.col("bin") + 1).alias("step"), "lon_idx", "lat_idx").agg(F.round(F.avg(F.col("mass") * 2 * weight), 9).alias("rate"))
 
 
 def event_cells(events: DataFrame, cells: DataFrame, grid: DataFrame) -> DataFrame:

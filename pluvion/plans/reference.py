@@ -127,11 +127,11 @@ REF = BIN + """,
 ws2 AS (SELECT unnest([30, 60, 180, 360]) AS window_min),
 ref AS (SELECT r.station_id, r.bin * 30 + 30 AS ref_end, window_min, round(sum(b.mass), 6) AS accum_mm, round(least(1, sum(b.minutes) / window_min), 9) AS coverage_ratio,
   round(least(1, sum(b.minutes) / window_min), 9) >= 0.95::DOUBLE AND max(b.fail) = 0 AS strict
-  FROM bn r CROSS JOIN ws2 JOIN bn b ON b.station_id = r.station_id AND b.bin > r.bin - window_min // 30 AND b.bin <= r.bin GROUP BY ALL)"""
+  FROM bn r CROSS JOIN ws2 JOIN bn b ON b.station_id = r.station_id AND b.bin > r.bin - window_min // 30 AND b.bin <= r.bin GROUP BY r.station_id, r.bin, window_min)"""
 GRID = """,
 off AS (SELECT unnest([-1, 0, 1]) AS o),
 nine AS (SELECT station_id, lon_idx + a.o AS lon_idx, lat_idx + b.o AS lat_idx, a.o AS di, b.o AS dj FROM cell, off a, off b),
-grid AS (SELECT bin + 1 AS step, lon_idx, lat_idx, round(avg(mass * 2 * (1 + 0.1::DOUBLE * di - 0.05::DOUBLE * dj)), 6) AS rate FROM bn JOIN nine USING (station_id) WHERE fail = 0 AND minutes >= 15 GROUP BY ALL)"""
+grid AS (SELECT bin + 1 AS step, lon_idx, lat_idx, round(avg(mass * 2 * (1 + 0.1::DOUBLE * di - 0.05::DOUBLE * dj)), 9) AS rate FROM bn JOIN nine USING (station_id) WHERE fail = 0 AND minutes >= 15 GROUP BY ALL)"""
 EVC = """,
 es AS (SELECT station_id, window_min, end_min, event_accum_mm, unnest(range((end_min - window_min) // 30, (end_min - 1) // 30 + 1)) AS step FROM ev),
 eo AS (SELECT *, least(end_min, step * 30 + 30) - greatest(end_min - window_min, step * 30) AS o FROM es WHERE step IN (SELECT step FROM grid)),
@@ -363,7 +363,7 @@ def top_events(spark: SparkSession, sf: str) -> DataFrame:
 
 AUD = TOP + ",\n" + KNN + """,
 au AS (SELECT t.station_id, t.window_min, t.end_min, t.rank, k.neighbour_rank, k.neighbour_id, round(k.km, 6) AS distance_km, round(sum(i.um * part), 6) AS neighbour_accum_mm, round(coalesce(sum(i.ud * part), 0) / t.window_min, 6) AS neighbour_coverage, count(i.end_min) AS neighbour_intervals
-  FROM tp t JOIN kn k USING (station_id) LEFT JOIN LATERAL (SELECT end_min, um, ud, (end_min - greatest(end_min - dur, t.end_min - t.window_min)) / dur::DOUBLE AS part FROM iv WHERE dur > 0 AND station_id = k.neighbour_id AND end_min > t.end_min - t.window_min AND end_min <= t.end_min) i ON true GROUP BY ALL)"""
+  FROM tp t JOIN kn k USING (station_id) LEFT JOIN LATERAL (SELECT end_min, um, ud, (end_min - greatest(end_min - dur, t.end_min - t.window_min)) / dur::DOUBLE AS part FROM iv WHERE dur > 0 AND station_id = k.neighbour_id AND end_min > t.end_min - t.window_min AND end_min <= t.end_min) i ON true GROUP BY t.station_id, t.window_min, t.end_min, t.rank, k.neighbour_rank, k.neighbour_id, k.km)"""
 
 
 def audited(spark: SparkSession, sf: str) -> DataFrame:
@@ -423,7 +423,7 @@ def reference_windows(spark: SparkSession, sf: str) -> DataFrame:
 SAT = REF + ",\n" + CELL + GRID + """,
 ps AS (SELECT station_id, step, max(rate) FILTER (WHERE di = 0 AND dj = 0) AS point, max(rate) AS best FROM nine JOIN grid USING (lon_idx, lat_idx) GROUP BY ALL),
 sat AS (SELECT r.station_id, r.step * 30 + 30 AS ref_end, window_min, round(sum(b.point) / 2, 6) AS point_mm, round(sum(b.best) / 2, 6) AS best_mm, count(b.point) * 30 >= window_min * 0.95::DOUBLE AS sat_strict
-  FROM ps r CROSS JOIN ws2 JOIN ps b ON b.station_id = r.station_id AND b.step > r.step - window_min // 30 AND b.step <= r.step GROUP BY ALL),
+  FROM ps r CROSS JOIN ws2 JOIN ps b ON b.station_id = r.station_id AND b.step > r.step - window_min // 30 AND b.step <= r.step GROUP BY r.station_id, r.step, window_min),
 wq AS (SELECT station_id, window_min, round(quantile_cont(point_mm, 0.995) FILTER (WHERE sat_strict AND point_mm > 0), 6) AS q_point, round(quantile_cont(best_mm, 0.995) FILTER (WHERE sat_strict AND best_mm > 0), 6) AS q_best FROM sat GROUP BY ALL)"""
 
 
@@ -485,20 +485,20 @@ def areas(spark: SparkSession, sf: str) -> DataFrame:
     return cells(spark, sf).select("station_id", F.expr("(lon_idx div 3) * 10000 + lat_idx div 3").alias("area"))
 
 
-@query(sql(REF + GT + AREA, "SELECT area, ref_end, window_min, round(m, 6) AS median_mm, n AS stations FROM md WHERE n >= 2"))
+@query(sql(REF + GT + AREA, "SELECT area, ref_end, window_min, round(m, 4) AS median_mm, n AS stations FROM md WHERE n >= 2"))
 def cell_median(spark: SparkSession, sf: str) -> DataFrame:
     ref, gauge = ref_and_thresholds(spark, sf)
     rows = ref.filter("strict").join(areas(spark, sf), "station_id").join(gauge.filter("threshold_mm > 0"), ["station_id", "window_min"])
-    return rows.groupBy("area", "ref_end", "window_min").agg(F.round(F.percentile("accum_mm", 0.5), 6).alias("median_mm"), F.count("*").alias("stations")).filter("stations >= 2")
+    return rows.groupBy("area", "ref_end", "window_min").agg(F.round(F.percentile("accum_mm", 0.5), 4).alias("median_mm"), F.count("*").alias("stations")).filter("stations >= 2")
 
 
-@query(sql(REF + GT + AREA, "SELECT station_id, ref_end, window_min, round(m, 6) AS loo_median_mm FROM lo"))
+@query(sql(REF + GT + AREA, "SELECT station_id, ref_end, window_min, round(m, 4) AS loo_median_mm FROM lo"))
 def loo_cell_median(spark: SparkSession, sf: str) -> DataFrame:
     ref, gauge = ref_and_thresholds(spark, sf)
     rows = ref.filter("strict").join(areas(spark, sf), "station_id").join(gauge.filter("threshold_mm > 0"), ["station_id", "window_min"]).select("station_id", "area", "ref_end", "window_min", "accum_mm")
     other = rows.select("area", "ref_end", "window_min", F.col("station_id").alias("other"), F.col("accum_mm").alias("mm"))
     pairs = rows.join(other, ["area", "ref_end", "window_min"]).filter("station_id <> other")
-    return pairs.groupBy("station_id", "ref_end", "window_min").agg(F.round(F.percentile("mm", 0.5), 6).alias("loo_median_mm"))
+    return pairs.groupBy("station_id", "ref_end", "window_min").agg(F.round(F.percentile("mm", 0.5), 4).alias("loo_median_mm"))
 
 
 _SC = verify.scores()
