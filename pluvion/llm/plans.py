@@ -57,7 +57,7 @@ def p8_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p9_leaks(spark, sf).select("doc_id", "item_id")
+    return p9_leaks(spark, sf).filter("kind = 'copy'").select("doc_id", "item_id")
 
 
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
