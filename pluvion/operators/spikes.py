@@ -25,12 +25,13 @@ class Quantity:
     least: float  #: an excursion below this is never a spike (resolution and ordinary weather of the quantity)
     sure: float  #: an excursion above this is always one, whatever the fitted tail says
     free_below: float | None = None  #: values below this never count as stuck
+    steep: float | None = None  #: only rises count, and the readings beside them so many times (a shower has shoulders)
     far: float | None = None  #: further than this from the source's usual value: impossible there, or in another unit
     risk: float = 1e-4  #: share of ordinary readings allowed beyond the cut-off
 
 
 FIELDS = {
-    "precip_raw_mm": Quantity(0.0, 200.0, 10.0, 24.0, free_below=1.0),
+    "precip_raw_mm": Quantity(0.0, 200.0, 13.0, 24.0, free_below=1.0, steep=40.0),
     "temp_raw_c": Quantity(-35.0, 55.0, 4.5, 12.0, far=30.0),
     "wind_gust_raw": Quantity(0.0, 150.0, 18.0, 35.0, free_below=1e-9),
     "pressure_raw_hpa": Quantity(650.0, 1090.0, 3.5, 9.0, far=80.0),
@@ -55,9 +56,11 @@ def _per_field(fields: dict[str, Quantity], of) -> Column:
     return out
 
 
-def _excursion(own: Column, around: dict[int, Column]) -> Column:
+def _excursion(own: Column, around: dict[int, Column], fields: dict[str, Quantity]) -> Column:
     """How far a value, alone or in a run of up to RUN readings, lies beyond the readings on both sides of the run."""
     at = {0: own} | around
+    steep = _per_field(fields, lambda q: q.steep)
+    weight, falls = F.coalesce(steep, F.lit(1.0)), steep.isNull()
     runs = []
     for length in range(1, RUN + 1):
         for first in range(1 - length, 1):
@@ -67,7 +70,7 @@ def _excursion(own: Column, around: dict[int, Column]) -> Column:
             known = before.isNotNull() & behind.isNotNull()
             for m in members:
                 known = known & m.isNotNull()
-            runs.append(F.when(known, F.greatest(low - F.greatest(before, behind), F.least(before, behind) - top, F.lit(0.0))))
+            runs.append(F.when(known, F.greatest(low - weight * F.greatest(before, behind), F.when(falls, F.least(before, behind) - top), F.lit(0.0))))
     return F.coalesce(F.greatest(*runs), F.lit(0.0))
 
 
@@ -120,11 +123,11 @@ def judged_readings(df: DataFrame, fields: dict[str, Quantity] = FIELDS, taken_m
     near = {**{-i: F.lag("r", i).over(line) for i in range(1, RUN + 1)}, **{i: F.lead("r", i).over(line) for i in range(1, RUN + 1)}}
     sound = sound.withColumns({f"r{'m' if i < 0 else 'p'}{abs(i)}": c for i, c in near.items()}).filter("NOT __halo")
     around = {i: F.col(f"r{'m' if i < 0 else 'p'}{abs(i)}") for i in near}
-    sound = cut(sound.select(*keys, "t", "usual", *[c for c in sound.columns if c[:2] in ("rm", "rp")], _excursion(F.col("r"), around).alias("e")))
+    sound = cut(sound.select(*keys, "t", "usual", *[c for c in sound.columns if c[:2] in ("rm", "rp")], _excursion(F.col("r"), around, fields).alias("e")))
     cutoffs = pot_cutoffs(sound.select(*keys, "e"), fields)
     context = sound.select(*keys, "t", "usual", *[f"r{'m' if i < 0 else 'p'}{abs(i)}" for i in near])
     judged = rows.join(context, [*keys, "t"], "left").join(stuck, [*keys, "t"], "left").join(cutoffs, keys, "left")
-    judged = judged.withColumn("excursion", _excursion(F.col("v") - F.col("usual"), around))
+    judged = judged.withColumn("excursion", _excursion(F.col("v") - F.col("usual"), around, fields))
     spike = F.col("excursion") > F.col("cutoff")
     far = F.coalesce(F.abs(F.col("v") - F.col("usual")) > _per_field(fields, lambda q: q.far), F.lit(False))
     reason = F.when(F.col("bad") | far, "impossible").when(F.col("v") == F.col("stuck_v"), "stuck").when(spike, "spike")

@@ -47,7 +47,7 @@ def corrected_totals(stream: DataFrame, period_min: int = 60, cutoff_min: int =
             for s, *version in b[["source_ms", "inserted_ms", "ingest_order", "value"]].itertuples(index=False):
                 entries[s] = max(entries.get(s, tuple(version)), tuple(version))
         state.update((list(entries), [int(v[0]) for v in entries.values()], [int(v[1]) for v in entries.values()], [float(v[2]) for v in entries.values()]))
-        end = (key[1] + period_min + cutoff_min) * late.MINUTE_MS
+        end = (int(key[1]) + period_min + cutoff_min) * late.MINUTE_MS
         if end > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(end)
         yield pd.DataFrame({"station_id": [key[0]], "period_start_min": [key[1]], "readings": [len(entries)], "total": [float(sum(v[2] for v in entries.values()))]})

@@ -39,7 +39,7 @@ def test_poles_date_line_and_large_radius(spark):
 
 
 def test_regions_with_a_hole_and_shared_borders(spark):
-    ring = lambda name, xy: [(name, *xy[i], *xy[(i + 1) % len(xy)]) for i in range(len(xy))]
+    ring = lambda name, xy: [(name, *map(float, (*xy[i], *xy[(i + 1) % len(xy)]))) for i in range(len(xy))]
     big, hole, tri = [(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (3, 1), (3, 3), (1, 3)], [(4, 0), (8, 0), (4, 4)]
     e = ring("ring", big) + ring("ring", hole) + ring("tri", tri)
     edges = spark.createDataFrame(e + [("bad", None, 0.0, 1.0, 1.0)], "n string, x1 double, y1 double, x2 double, y2 double").select(F.struct("n").alias("region"), "x1", "y1", "x2", "y2")

@@ -38,8 +38,11 @@ def test_spikes_and_changes_that_persist(spark):
 def test_showers_build_up(spark):
     v = [0.0] * 300
     v[100:108] = [0.2, 1.4, 5.0, 9.0, 14.0, 9.5, 3.0, 0.4]
+    v[120:126] = [0.6, 17.0, 1.2, 16.0, 0.8, 0.2]
+    v[140] = 9.0
     v[200] = 40.0
-    assert found(spark, v, "precip_raw_mm") == {(200, "spike")}
+    v[220:223] = [1.0, 90.0, 1.2]
+    assert found(spark, v, "precip_raw_mm") == {(200, "spike"), (221, "spike")}
 
 
 def test_stuck_over_borders_and_exempt_values(spark):
