@@ -17,7 +17,8 @@ def with_halo(df: DataFrame, keys: list[str], time: str, bucket: str, k: int) ->
     2k rows a bucket; a bucket with less than k rows is passed through, so that the k neighbours may lie further away.
     """
     inside = Window.partitionBy(*keys, bucket)
-    edges = df.withColumns({"__a": F.row_number().over(inside.orderBy(time)), "__z": F.row_number().over(inside.orderBy(F.col(time).desc()))}).filter(f"__a <= {k} OR __z <= {k}")
+    edges = df.withColumns({"__a": F.row_number().over(inside.orderBy(time)), "__n": F.count("*").over(inside)})
+    edges = edges.withColumn("__z", F.col("__n") + 1 - F.col("__a")).filter(f"__a <= {k} OR __z <= {k}")
     row = F.struct(*df.columns)
     line = Window.partitionBy(*keys).orderBy(time)
     edges = edges.select(*keys, bucket, "__a", "__z", F.when(F.col("__a") == 1, F.collect_list(row).over(line.rowsBetween(-k, -1))).alias("__p"), F.when(F.col("__z") == 1, F.collect_list(row).over(line.rowsBetween(1, k))).alias("__f"))
