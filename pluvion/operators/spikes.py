@@ -94,43 +94,58 @@ def pot_cutoffs(excursions: DataFrame, fields: dict[str, Quantity], tail: float
     return fit.select(*keys, F.least(_per_field(fields, lambda q: q.sure), F.greatest(least, F.coalesce(beyond, F.col("u"), least))).alias("cutoff"))
 
 
+def course_of(base: DataFrame, fields: dict[str, Quantity], taken_ms: str) -> DataFrame:
+    """(station_id, field, t, ingest_order, v, bad, n): one reading an instant and field, of n: a plausible one before
+    others, then the first received.  Aggregated with all fields side by side, so that each record is shuffled once."""
+    bad = lambda f, q: (F.col(f) < q.low) | (F.col(f) > q.high)
+    number = lambda f: F.col(f).isNotNull() & ~F.isnan(F.col(f))
+    pick = [F.min(F.when(number(f), F.struct(bad(f, q).alias("bad"), "ingest_order", F.col(f).alias("v")))).alias(f) for f, q in fields.items()]
+    count = [F.count(F.when(number(f), 1)).alias(f"{f}__n") for f in fields]
+    wide = base.filter(f"{taken_ms} IS NOT NULL AND station_id IS NOT NULL").groupBy("station_id", F.col(taken_ms).alias("t")).agg(*pick, *count)
+    item = [F.struct(F.lit(f).alias("field"), F.col(f"{f}.ingest_order").alias("ingest_order"), F.col(f"{f}.v").alias("v"), F.col(f"{f}.bad").alias("bad"), F.col(f"{f}__n").alias("n")) for f in fields]
+    return wide.select("station_id", "t", F.inline(F.array(*item))).filter("v IS NOT NULL")
+
+
 def judged_readings(df: DataFrame, fields: dict[str, Quantity] = FIELDS, taken_ms: str = "t_ms") -> DataFrame:
     """Every reading (ingest_order, station_id, field, t, v) with its excursion, cut-off and reason: 'impossible', 'stuck', 'spike' or NULL.
 
-    A station's course holds one reading an instant: of rows with the same instant, a plausible one before others, then
-    the first received.  Every row is judged by its own value against the course around its instant.  Rows without a
-    readable instant or station, and NULL or NaN values, are not judged.  A reading with no neighbour on one side is no
-    spike.  Infinite values are impossible.  Series are cut into weeks with a halo of 7 readings, so that a station
-    with a third of all rows is spread; empty tables give no rows.
+    A station's course holds one reading an instant.  Every row is judged by its own value against the course around its
+    instant.  Rows without a readable instant or station, and NULL or NaN values, are not judged.  A reading with no
+    plausible neighbour on one side is no spike.  Infinite values are impossible.  Series are cut into weeks with a halo
+    of ten readings, so that a station with a third of all rows is spread; empty tables give no rows.
     """
-    low, high = _per_field(fields, lambda q: q.low), _per_field(fields, lambda q: q.high)
-    base = cut(df.select("ingest_order", "station_id", taken_ms, *fields))  # read several times below
-    rows = melt(base, fields, taken_ms).withColumn("bad", (F.col("v") < low) | (F.col("v") > high))
+    base = cut(df.select("ingest_order", "station_id", taken_ms, *[F.col(f).cast("double").alias(f) for f in fields]))  # read several times below
     keys = ["station_id", "field"]
-    course = rows.groupBy(*keys, "t").agg(F.min(F.struct("bad", "ingest_order", "v")).alias("c")).select(*keys, "t", F.col("c.v").alias("v"), F.col("c.bad").alias("bad"))
-    course = cut(course.withColumn("week", F.expr(f"floor(t / {BUCKET_MS})")))
+    course = cut(course_of(base, fields, taken_ms).withColumn("week", F.expr(f"floor(t / {BUCKET_MS})")))
     hour = F.expr("pmod(floor(t / 3600000), 24)")
     daily = course.filter("NOT bad").groupBy(*keys, hour.alias("hour")).agg(F.percentile_approx("v", 0.5, 1000).alias("usual"))
-    # stuck: some eight successive readings around this one are equal
+    wide = with_halo(course, keys, "t", "week", STUCK - 1 + RUN).withColumn("hour", hour).join(daily, [*keys, "hour"], "left")
+    wide = wide.withColumn("r", F.when(~F.col("bad"), F.col("v") - F.col("usual")))
+    # all windows in one order: plausible residuals around, and how many equal readings there are so far
     line = Window.partitionBy(*keys, "week").orderBy("t")
-    wide = with_halo(course.select(*keys, "t", "week", "v"), keys, "t", "week", STUCK - 1)
-    wide = wide.withColumn("__new", F.coalesce((F.lag("v").over(line) != F.col("v")).cast("int"), F.lit(0))).withColumn("__run", F.sum("__new").over(line))
+    name = {i: f"r{'m' if i < 0 else 'p'}{abs(i)}" for i in (*range(-RUN, 0), *range(1, RUN + 1))}
+    beside = lambda i: F.expr(f"{'lag' if i < 0 else 'lead'}(r, {abs(i)}) IGNORE NULLS OVER (PARTITION BY station_id, field, week ORDER BY t)")
+    wide = wide.withColumns({name[i]: beside(i) for i in name} | {"__i": F.row_number().over(line), "__new": F.coalesce(F.lag("v").over(line) != F.col("v"), F.lit(True))})
+    wide = wide.withColumn("__equal", F.col("__i") - F.max(F.when(F.col("__new"), F.col("__i"))).over(line) + 1)
+    # in a run of STUCK or more: this reading or one of the next STUCK - 1 is at least the STUCKth of its run
+    stuck = F.max("__equal").over(line.rowsBetween(0, STUCK - 1)) >= STUCK
     free = _per_field(fields, lambda q: q.free_below)
-    stuck = wide.withColumn("__n", F.count("*").over(Window.partitionBy(*keys, "week", "__run"))).filter(F.col("__n") >= STUCK).filter("NOT __halo").select(*keys, "t", F.col("v").alias("stuck_v")).filter(free.isNull() | (F.col("stuck_v") >= free))
-    # spikes: on the plausible course only, with its own halo
-    sound = with_halo(course.filter("NOT bad").select(*keys, "t", "week", "v"), keys, "t", "week", RUN)
-    sound = sound.withColumn("hour", hour).join(daily, [*keys, "hour"], "left").withColumn("r", F.col("v") - F.col("usual"))
-    near = {**{-i: F.lag("r", i).over(line) for i in range(1, RUN + 1)}, **{i: F.lead("r", i).over(line) for i in range(1, RUN + 1)}}
-    sound = sound.withColumns({f"r{'m' if i < 0 else 'p'}{abs(i)}": c for i, c in near.items()}).filter("NOT __halo")
-    around = {i: F.col(f"r{'m' if i < 0 else 'p'}{abs(i)}") for i in near}
-    sound = cut(sound.select(*keys, "t", "usual", *[c for c in sound.columns if c[:2] in ("rm", "rp")], _excursion(F.col("r"), around, fields).alias("e")))
-    cutoffs = pot_cutoffs(sound.select(*keys, "e"), fields)
-    context = sound.select(*keys, "t", "usual", *[f"r{'m' if i < 0 else 'p'}{abs(i)}" for i in near])
-    judged = rows.join(context, [*keys, "t"], "left").join(stuck, [*keys, "t"], "left").join(cutoffs, keys, "left")
-    judged = judged.withColumn("excursion", _excursion(F.col("v") - F.col("usual"), around, fields))
-    spike = F.col("excursion") > F.col("cutoff")
+    wide = wide.withColumn("stuck_v", F.when(stuck & (free.isNull() | (F.col("v") >= free)), F.col("v"))).filter("NOT __halo")
+    around = {i: F.col(c) for i, c in name.items()}
+    context = wide.withColumn("e", F.when(~F.col("bad"), _excursion(F.col("r"), around, fields)))
+    context = cut(context.select(*keys, "t", "ingest_order", "v", "bad", "n", "usual", "stuck_v", *name.values(), "e"))
+    cutoffs = pot_cutoffs(context.filter("NOT bad").select(*keys, "e"), fields)
+    # resent rows: only instants with more than one row are looked up again
+    again = context.filter("n > 1").select("station_id", F.col("t").alias(taken_ms)).distinct()
+    rows = melt(base.join(again, ["station_id", taken_ms], "left_semi"), fields, taken_ms)
+    kept = context.filter("n > 1").select(*keys, "t", F.col("ingest_order").alias("kept_order"), "usual", "stuck_v", *name.values())
+    resent = rows.join(kept, [*keys, "t"]).filter("NOT (ingest_order <=> kept_order)").drop("kept_order")
+    low, high = _per_field(fields, lambda q: q.low), _per_field(fields, lambda q: q.high)
+    resent = resent.withColumn("bad", (F.col("v") < low) | (F.col("v") > high)).withColumn("e", _excursion(F.col("v") - F.col("usual"), around, fields))
+    columns = ["ingest_order", *keys, "t", "v", "bad", "usual", "stuck_v", "e"]
+    judged = context.select(*columns).unionByName(resent.select(*columns)).join(cutoffs, keys, "left").withColumnRenamed("e", "excursion")
     far = F.coalesce(F.abs(F.col("v") - F.col("usual")) > _per_field(fields, lambda q: q.far), F.lit(False))
-    reason = F.when(F.col("bad") | far, "impossible").when(F.col("v") == F.col("stuck_v"), "stuck").when(spike, "spike")
+    reason = F.when(F.col("bad") | far, "impossible").when(F.col("v") == F.col("stuck_v"), "stuck").when(F.col("excursion") > F.col("cutoff"), "spike")
     return judged.select("ingest_order", *keys, "t", "v", "excursion", "cutoff", reason.alias("reason"))
 
 
