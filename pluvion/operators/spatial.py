@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvion.operators import near
@@ -68,3 +70,30 @@ def nearest_inside_cells(stations: DataFrame, cells: DataFrame, step_deg: float
         if last or ask.isEmpty():
             return done
         ring *= 8
+
+
+KM_PER_DEGREE = 111.19492664455873  # on a sphere of radius 6371 km
+
+
+def border_segments(cells: DataFrame) -> list[tuple[float, float, float, float]]:
+    """Polyline (lon1, lat1, lon2, lat2) along the eastern border of the inside cells, a stand-in for a coastline: one
+    vertex per grid row, so at most as many numbers as the grid has rows come to the driver."""
+    rows = cells.filter("inside_cv_polygon").groupBy("lat_idx").agg(F.max("lon").alias("lon"), F.min("lat").alias("lat")).orderBy("lat_idx").collect()
+    at = [(r["lon"], r["lat"]) for r in rows]
+    return [(*a, *b) for a, b in zip(at, at[1:])]
+
+
+def distance_to_line_km(lat: str, lon: str, segments: list[tuple[float, float, float, float]], middle_lat: float = 39.5) -> Column:
+    """Distance from a position to the nearest of a line's segments, in a plane scaled at ``middle_lat``; NULL without
+    position or segments."""
+    kx, ky = KM_PER_DEGREE * math.cos(math.radians(middle_lat)), KM_PER_DEGREE
+    px, py = F.col(lon) * kx, F.col(lat) * ky
+    out = []
+    for x1, y1, x2, y2 in segments:
+        ax, ay, dx, dy = x1 * kx, y1 * ky, (x2 - x1) * kx, (y2 - y1) * ky
+        size = dx * dx + dy * dy
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / (size or 1.0)))
+        out.append(F.sqrt(F.pow(px - ax - t * dx, 2) + F.pow(py - ay - t * dy, 2)))
+    if not out:
+        return F.lit(None).cast("double")
+    return F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), out[0] if len(out) == 1 else F.least(*out))

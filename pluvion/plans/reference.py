@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -583,22 +585,28 @@ def policy_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("scenario", "window_min").agg(F.count("*").alias("events"), F.round(F.avg(F.expr("grid_mm - event_accum_mm")), 6).alias("bias_mm"), F.round(F.percentile(F.expr("grid_mm / event_accum_mm"), 0.5), 6).alias("median_ratio"))
 
 
-COAST = "-0.35"  # longitude that stands in for the coastline in the strata
+KX, KY = (f"{x!r}::DOUBLE" for x in (spatial.KM_PER_DEGREE * math.cos(math.radians(39.5)), spatial.KM_PER_DEGREE))
+COAST = f"""cv AS (SELECT lat_idx, max(lon) * {KX} AS x, min(lat) * {KY} AS y FROM cv_imerg_grid_cells WHERE inside_cv_polygon GROUP BY lat_idx),
+sg AS (SELECT x, y, lead(x) OVER (ORDER BY lat_idx) - x AS dx, lead(y) OVER (ORDER BY lat_idx) - y AS dy FROM cv),
+pt AS (SELECT station_id, alt, lon * {KX} AS px, lat * {KY} AS py FROM avamet_station_inventory_cv),
+pd AS (SELECT *, greatest(0, least(1, ((px - x) * dx + (py - y) * dy) / (dx * dx + dy * dy))) AS t FROM pt LEFT JOIN sg ON dx IS NOT NULL),
+altitude AS (SELECT station_id, round(min(sqrt(pow(px - x - t * dx, 2) + pow(py - y - t * dy, 2))), 6) AS coast_km, CASE WHEN alt IS NULL THEN 'Unknown' WHEN alt <= 200 THEN 'Low' WHEN alt <= 800 THEN 'Mid' ELSE 'High' END AS altitude_group,
+  CASE WHEN min(sqrt(pow(px - x - t * dx, 2) + pow(py - y - t * dy, 2))) <= 25 THEN 'Coastal' ELSE 'Interior' END AS coast_group FROM pd GROUP BY station_id, alt)"""
 
 
-@query(f"""SELECT station_id, CASE WHEN alt IS NULL THEN 'Unknown' WHEN alt <= 200 THEN 'Low' WHEN alt <= 800 THEN 'Mid' ELSE 'High' END AS altitude_group,
- CASE WHEN ({COAST} - lon) * 111.19492664455873 * cos(radians(lat)) <= 25 THEN 'Coastal' ELSE 'Interior' END AS coast_group FROM avamet_station_inventory_cv""")
+@query(sql(COAST, "SELECT * FROM altitude"))
 def strata(spark: SparkSession, sf: str) -> DataFrame:
     return _strata(spark, sf)
 
 
 def _strata(spark: SparkSession, sf: str) -> DataFrame:
     altitude = F.when(F.col("alt").isNull(), "Unknown").when(F.col("alt") <= 200, "Low").when(F.col("alt") <= 800, "Mid").otherwise("High")
-    coast = F.when(F.expr(f"({COAST}D - lon) * 111.19492664455873D * cos(radians(lat)) <= 25"), "Coastal").otherwise("Interior")
-    return table(spark, sf, "avamet_station_inventory_cv").select("station_id", altitude.alias("altitude_group"), coast.alias("coast_group"))
+    km = spatial.distance_to_line_km("lat", "lon", spatial.border_segments(table(spark, sf, "cv_imerg_grid_cells")))
+    rows = table(spark, sf, "avamet_station_inventory_cv").withColumn("coast_km", km)
+    return rows.select("station_id", F.round("coast_km", 6).alias("coast_km"), altitude.alias("altitude_group"), F.when(F.col("coast_km") <= 25, "Coastal").otherwise("Interior").alias("coast_group"))
 
 
-_STRATA_SQL = f"""altitude AS (SELECT station_id, CASE WHEN alt IS NULL THEN 'Unknown' WHEN alt <= 200 THEN 'Low' WHEN alt <= 800 THEN 'Mid' ELSE 'High' END AS altitude_group, CASE WHEN ({COAST} - lon) * 111.19492664455873 * cos(radians(lat)) <= 25 THEN 'Coastal' ELSE 'Interior' END AS coast_group FROM avamet_station_inventory_cv),
+_STRATA_SQL = COAST + """,
 sm AS (SELECT m.*, altitude_group, coast_group, CASE WHEN month(make_timestamp(end_min * 60000000)) IN (9, 10, 11) THEN 'SON' ELSE 'Rest' END AS season FROM matched m JOIN altitude USING (station_id)),
 sf AS (SELECT 'all' AS family, 'all' AS stratum, * FROM sm UNION ALL SELECT 'season', season, * FROM sm UNION ALL SELECT 'coast', coast_group, * FROM sm UNION ALL SELECT 'altitude', altitude_group, * FROM sm)"""
 

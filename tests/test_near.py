@@ -72,3 +72,12 @@ def test_nearest_neighbours_keep_colocated(spark):
     got = {(r["station_id"], r["neighbour_rank"]): r["neighbour_id"] for r in spatial.nearest_neighbours(s, k=2).collect()}
     assert got[("a", 1)] == "b" and got[("a", 2)] == "c" and got[("d", 1)] == "c" and len(got) == 8
     assert {(r[0], r[1]) for r in spatial.radius_neighbours(s).collect()} == {("a", "c"), ("b", "c"), ("c", "a"), ("c", "b")}
+
+
+def test_distance_to_line(spark):
+    s = spark.createDataFrame([(39.5, 0.0), (39.5, 1.5), (None, 0.0), (41.0, 1.0)], "lat double, lon double")
+    segments = [(1.0, 39.0, 1.0, 40.0), (1.0, 40.0, 1.0, 40.0)]
+    k = spatial.KM_PER_DEGREE
+    got = [r[0] for r in s.select(spatial.distance_to_line_km("lat", "lon", segments)).collect()]
+    assert got[2] is None and [round(x, 6) for x in got[:2] + got[3:]] == [round(k * math.cos(math.radians(39.5)), 6), round(k * math.cos(math.radians(39.5)) / 2, 6), round(k, 6)]
+    assert s.select(spatial.distance_to_line_km("lat", "lon", [])).first()[0] is None
