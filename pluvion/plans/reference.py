@@ -388,14 +388,14 @@ def merged_request_windows(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- grid
 
 
-@query(sql(IV, """, f AS (SELECT DISTINCT CASE WHEN dur > 10 THEN 'archive/late/' ELSE 'archive/' END || station_id || '/3B-HHR.' || strftime(make_timestamp((end_min // 30 * 30) * 60000000), '%Y%m%d-S%H%M%S') || '-E' || strftime(make_timestamp((end_min // 30 * 30 + 29) * 60000000 + 59000000), '%H%M%S') || '.nc' AS path FROM iv),
+@query(sql(IV, """, f AS (SELECT DISTINCT CASE WHEN dur > 10 THEN 'archive/late/' ELSE 'archive/' END || station_id || '/field.' || strftime(make_timestamp((end_min // 30 * 30) * 60000000), '%Y%m%d-S%H%M%S') || '-E' || strftime(make_timestamp((end_min // 30 * 30 + 29) * 60000000 + 59000000), '%H%M%S') || '.nc' AS path FROM iv),
 p AS (SELECT path, regexp_extract(path, '(\\d{8}-S\\d{6})-E\\d{6}', 1) AS start, length(path) - length(replace(path, '/', '')) AS depth FROM f),
 k AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth DESC, path) AS k, count(*) OVER (PARTITION BY start) AS files FROM p)
 SELECT start AS step_start, path, files FROM k WHERE k = 1"""))
 def file_timeline_index(spark: SparkSession, sf: str) -> DataFrame:
     """One file per half-hour step, the deepest path first, then by name; names put together from the stored intervals."""
     half = F.expr("end_min div 30 * 30")
-    name = F.concat(F.when(F.col("dur") > 10, "archive/late/").otherwise("archive/"), "station_id", F.lit("/3B-HHR."), F.date_format(F.timestamp_seconds(half * 60), "yyyyMMdd-'S'HHmmss"), F.lit("-E"), F.date_format(F.timestamp_seconds((half + 29) * 60 + 59), "HHmmss"), F.lit(".nc"))
+    name = F.concat(F.when(F.col("dur") > 10, "archive/late/").otherwise("archive/"), "station_id", F.lit("/field."), F.date_format(F.timestamp_seconds(half * 60), "yyyyMMdd-'S'HHmmss"), F.lit("-E"), F.date_format(F.timestamp_seconds((half + 29) * 60 + 59), "HHmmss"), F.lit(".nc"))
     paths = iv(spark, sf).select(name.alias("path")).distinct()
     rows = paths.select("path", F.regexp_extract("path", r"(\d{8}-S\d{6})-E\d{6}", 1).alias("step_start"), F.length(F.regexp_replace("path", "[^/]", "")).alias("depth"))
     # the smallest of (-depth, path) by partial aggregation instead of a window

@@ -25,7 +25,7 @@ def test_npz_grid_and_file_steps(spark, tmp_path):
     deep = tmp_path / "x"
     deep.mkdir()
     for d, v in ((tmp_path, 1.0), (deep, 2.0)):
-        np.savez_compressed(d / "3B.20230101-S000000-E002959.npz", precipitation=np.array([[v, -9999.0], [np.nan, 0.0]], dtype=np.float32), time=60)
+        np.savez_compressed(d / "field.20230101-S000000-E002959.npz", precipitation=np.array([[v, -9999.0], [np.nan, 0.0]], dtype=np.float32), time=60)
     steps = files.file_steps(spark, str(tmp_path)).collect()
     assert len(steps) == 1 and "/x/" in steps[0]["path"]
     rows = files.read_npz_grid(spark, str(deep)).orderBy("i", "j").collect()
