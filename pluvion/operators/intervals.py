@@ -16,7 +16,8 @@ def qc_intervals(df: DataFrame, time: str = "timestamp_utc", length: str = "delt
 
 def _sessions(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Merge by session windows whose gap is each row's own length."""
-    gap = F.make_interval(mins=(F.col("end_min") - F.col("start_min")).cast("int"))
+    length = F.col("end_min") - F.col("start_min")
+    gap = F.make_interval(days=F.floor(length / 1440).cast("int"), mins=(length % 1440).cast("int"))  # days of 24 hours: the session's zone is UTC
     s = rows.groupBy(*keys, F.session_window(F.timestamp_seconds(F.col("start_min") * 60), gap).alias("w")).agg(F.count("*").alias("__n"))
     return s.select(*keys, (F.unix_seconds("w.start") / 60).cast("bigint").alias("start_min"), (F.unix_seconds("w.end") / 60).cast("bigint").alias("end_min"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvion.functions import timestamps as ts
+from pluvion.session import private_prefix
 
 EXACT = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z\z"
 
@@ -23,25 +24,28 @@ def normalise_stamps(df: DataFrame, clocks: DataFrame, taken: str = "timestamp_u
     nearest to it; without the other stamp, the earlier instant.  Repeated rows stay; a station listed twice in
     ``clocks`` counts once (its smallest values).  Columns named like the results are replaced, others kept.
     """
+    own = private_prefix(df)
+    st, cz, rz, do, best = (own + k for k in ("st", "cz", "rz", "do", "best"))
     dim = (
-        clocks.select(F.col(station).alias("__st"), "clock_zone", "relay_zone", "date_order").filter("__st IS NOT NULL")
-        .groupBy("__st").agg(F.min(ts.known_zone(F.col("clock_zone"))).alias("__cz"), F.min(ts.known_zone(F.col("relay_zone"))).alias("__rz"), F.min(F.lower(F.trim("date_order"))).alias("__do"))
+        clocks.select(F.col(station).alias(st), "clock_zone", "relay_zone", "date_order").filter(F.col(st).isNotNull())
+        .groupBy(st).agg(F.min(ts.known_zone(F.col("clock_zone"))).alias(cz), F.min(ts.known_zone(F.col("relay_zone"))).alias(rz), F.min(F.lower(F.trim("date_order"))).alias(do))
     )
-    out = df.drop(*[c for c in (taken_ms, arrived_ms) if c in df.columns]).join(dim, F.col(station) == F.col("__st"), "left")
-    out = out.withColumns({"__p0": ts.components(F.col(taken)), "__p1": ts.components(F.col(arrived))})
+    results = {taken_ms.lower(), arrived_ms.lower()}
+    out = df.drop(*[c for c in df.columns if c.lower() in results]).join(dim, F.col(station) == F.col(st), "left")
+    out = out.withColumns({f"{own}p0": ts.components(F.col(taken)), f"{own}p1": ts.components(F.col(arrived))})
     kept = out.columns
-    for a, b in zip(*(ts.local_stages(f"__{i}_", f"__p{i}", "__do") for i in range(2))):
+    for a, b in zip(*(ts.local_stages(f"{own}{i}_", f"{own}p{i}", do) for i in range(2))):
         out = out.withColumns(a | b)
-    out = out.select(*kept, *[f"__{i}_{k}" for i in range(2) for k in ("local", "zoned", "offset")])
-    for a, b in zip(ts.instant_stages("__0_", "__cz"), ts.instant_stages("__1_", "__rz")):
+    out = out.select(*kept, *[f"{own}{i}_{k}" for i in range(2) for k in ("local", "zoned", "offset")])
+    for a, b in zip(ts.instant_stages(f"{own}0_", cz), ts.instant_stages(f"{own}1_", rz)):
         out = out.withColumns(a | b)
     pair = lambda t, n: F.struct((F.col(n) < F.col(t)).alias("early"), F.abs(F.col(n) - F.col(t)).alias("delay"), F.col(t).alias("t"), F.col(n).alias("n"))
-    pairs = F.filter(F.array(*[pair(f"__0_{i}", f"__1_{j}") for i in ("lo", "hi") for j in ("lo", "hi")]), lambda p: p["delay"].isNotNull())
-    twice = F.col("__0_hi").isNotNull() | F.col("__1_hi").isNotNull()
-    out = out.withColumn("__best", F.when(twice, F.array_min(pairs)))
+    pairs = F.filter(F.array(*[pair(f"{own}0_{i}", f"{own}1_{j}") for i in ("lo", "hi") for j in ("lo", "hi")]), lambda p: p["delay"].isNotNull())
+    twice = F.col(f"{own}0_hi").isNotNull() | F.col(f"{own}1_hi").isNotNull()
+    out = out.withColumn(best, F.when(twice, F.array_min(pairs)))
     # Generated columns: filters on the instants stay above, instead of being unfolded into all the stages.
-    both = F.struct(F.coalesce("__best.t", "__0_lo").alias(taken_ms), F.coalesce("__best.n", "__1_lo").alias(arrived_ms))
-    return out.select(*[c for c in out.columns if not c.startswith("__")], F.inline(F.array(both)))
+    both = F.struct(F.coalesce(f"{best}.t", f"{own}0_lo").alias(taken_ms), F.coalesce(f"{best}.n", f"{own}1_lo").alias(arrived_ms))
+    return out.select(*[c for c in out.columns if not c.startswith(own)], F.inline(F.array(both)))
 
 
 def found_stamps(df: DataFrame, clocks: DataFrame) -> DataFrame:

@@ -23,6 +23,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def private_prefix(df: DataFrame) -> str:
+    """Start for the names of helper columns that none of ``df``'s own columns has."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Fused stages whose code passes the JVM's 8000-byte limit for compilation run operator by operator instead.
 
