@@ -1,29 +1,59 @@
-"""Streaming queries, run once over the stored events as a file stream and read back from the sink's table."""
+"""Streaming queries: the stored tables as file streams, run once over all files, their sink read back."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from pluvion.session import tuned
+from pluvion.operators import stamps
+from pluvion.session import shared_folder, table, tuned
 from pluvion.streaming import late_stream
 
 
-def stream_hourly_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly counts and sums per event type from a stream over the events file (available now, complete mode)."""
-    tuned(spark)
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    rows = stream.select(F.col("event_type").alias("station_id"), F.col("ts").cast("timestamp").alias("event_time"), "value")
-    name = "stream_totals_" + next(tempfile._get_candidate_names()).replace("-", "_")
-    run = late_stream.windowed_totals(rows).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A stored table, one file or a folder of files, as a file stream."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")  # a pattern: a plain path would have to be a folder
+
+
+def latest_rows(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
+    """Run a stream over what is there; the last row it gave for each key.
+
+    Each batch is written to a folder of its own in the shared folder, beside the stream's state, so that a batch that
+    is repeated after a failure replaces itself.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    write = lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select(F.col("station_id").alias("event_type"), F.unix_seconds("w.start").alias("start_s"), "readings", F.round("total", 4).alias("total"))
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(f"{folder}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
+
+
+def stream_hourly_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly counts and sums per event type from a stream over the events (complete mode)."""
+    rows = stream_of(tuned(spark), sf, "events").select(F.col("event_type").alias("station_id"), F.col("ts").cast("timestamp").alias("event_time"), "value")
+    totals = late_stream.windowed_totals(rows).select("station_id", F.unix_seconds("w.start").alias("start_s"), "readings", "total")
+    last = latest_rows(totals, "complete", ["station_id", "start_s"])
+    return last.select(F.col("station_id").alias("event_type"), "start_s", "readings", F.round("total", 4).alias("total"))
+
+
+def stream_corrected_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly rainfall per station from a stream of gauge records, corrected by records up to 24 hours late (update mode)."""
+    raw = stream_of(tuned(spark), sf, "raw_window").select("ingest_order", "station_id", "timestamp_utc", "inserted_ts", "precip_raw_mm")
+    rows = stamps.normalise_stamps(raw, table(spark, sf, "station_clocks"))
+    rows = rows.select("station_id", F.timestamp_millis("t_ms").alias("event_time"), F.col("n_ms").alias("inserted_ms"), "ingest_order", F.col("precip_raw_mm").alias("value"))
+    rows = rows.filter("station_id IS NOT NULL AND event_time IS NOT NULL AND inserted_ms IS NOT NULL AND ingest_order IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+    last = latest_rows(late_stream.corrected_totals(rows), "update", ["station_id", "period_start_min"])
+    return last.select("station_id", "period_start_min", "readings", F.round("total", 4).alias("rain_mm"))
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly_totals,)}
+QUERIES = {f.__name__: f for f in (stream_hourly_totals, stream_corrected_hours)}
 ORACLES = {
     "stream_hourly_totals": "SELECT event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start_s, count(*) AS readings, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
