@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from pluvion.operators import stamps
+from pluvion.operators import late, stamps
 from pluvion.session import shared_folder, table, tuned
 from pluvion.streaming import late_stream
 
@@ -44,13 +44,14 @@ def stream_hourly_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_corrected_hours(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly rainfall per station from a stream of gauge records, corrected by records up to 24 hours late (update mode)."""
+    """Hourly rainfall per station from a stream of gauge records, corrected by records up to 24 hours late (update mode).
+
+    The state is the counters' entries, one per reading, merged by Spark's own aggregation without Python work.
+    """
     raw = stream_of(tuned(spark), sf, "raw_window").select("ingest_order", "station_id", "timestamp_utc", "inserted_ts", "precip_raw_mm")
-    rows = stamps.normalise_stamps(raw, table(spark, sf, "station_clocks"))
-    rows = rows.select("station_id", F.timestamp_millis("t_ms").alias("event_time"), F.col("n_ms").alias("inserted_ms"), "ingest_order", F.col("precip_raw_mm").alias("value"))
-    rows = rows.filter("station_id IS NOT NULL AND event_time IS NOT NULL AND inserted_ms IS NOT NULL AND ingest_order IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
-    last = latest_rows(late_stream.corrected_totals(rows), "update", ["station_id", "period_start_min"])
-    return last.select("station_id", "period_start_min", "readings", F.round("total", 4).alias("rain_mm"))
+    counters = late.late_counters(stamps.normalise_stamps(raw, table(spark, sf, "station_clocks")), cutoffs_min=(1440,))
+    totals = late.period_totals(latest_rows(counters, "update", list(late.KEYS)))
+    return totals.select("station_id", "period_start_min", "readings", F.round("total", 4).alias("rain_mm"))
 
 
 QUERIES = {f.__name__: f for f in (stream_hourly_totals, stream_corrected_hours)}
