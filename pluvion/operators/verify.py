@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvion.operators.windows import WINDOWS, time_chunks
+from pluvion.session import cut
 
 
-def scores(tp: str = "tp", fp: str = "fp", fn: str = "fn", tn: str = "tn", prefix: str = "") -> dict[str, str]:
+def scores(tp: str = "tp", fp: str = "fp", fn: str = "fn", tn: str = "tn", prefix: str = "", rounded: bool = True) -> dict[str, str]:
     """SQL of the scores of a 2x2 table; a denominator that is not positive gives NULL.  Counts become doubles first."""
     a, b, c, d = (f"CAST({x} AS DOUBLE)" for x in (tp, fp, fn, tn))
     r = f"(({a} + {b}) * ({a} + {c}) / nullif({a} + {b} + {c} + {d}, 0))"
@@ -21,7 +22,8 @@ def scores(tp: str = "tp", fp: str = "fp", fn: str = "fn", tn: str = "tn", prefi
         "bias": (f"({a} + {b})", f"({a} + {c})"), "ets": (f"({a} - {r})", f"({a} + {b} + {c} - {r})"),
         "hss": (f"(2 * ({a} * {d} - {c} * {b}))", f"(({a} + {c}) * ({c} + {d}) + ({a} + {b}) * ({b} + {d}))"),
     }
-    return {prefix + k: f"round(CASE WHEN {y} > 0 THEN {x} / nullif({y}, 0) END, 6)" for k, (x, y) in ratio.items()}
+    sql = {prefix + k: f"CASE WHEN {y} > 0 THEN {x} / nullif({y}, 0) END" for k, (x, y) in ratio.items()}
+    return {k: f"round({x}, 6)" for k, x in sql.items()} if rounded else sql
 
 
 def stencil(cells: DataFrame) -> DataFrame:
@@ -153,46 +155,77 @@ def displacement(events: DataFrame, cells: DataFrame, grid: DataFrame) -> DataFr
     })
 
 
-def resampling(spark, replicates: int, blocks: int, seed: int) -> DataFrame:
-    """(replicate, block, times): how often each block is drawn, from numpy's generator, one draw of ``blocks`` integers a replicate."""
+def resampling(spark, replicates: int, blocks: int | dict[str, tuple[int, int]], seed: int = 42) -> DataFrame:
+    """(replicate, block, times): how often each block is drawn, from numpy's generator, one draw of ``blocks`` integers a replicate.
+
+    With a dict of scope: (blocks, seed) each scope has its own draws, named in ``scope``.
+    """
+    scopes = blocks if isinstance(blocks, dict) else {None: (blocks, seed)}
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rng, wanted = np.random.default_rng(seed), set(b["id"].tolist())
-            for r in range(max(wanted) + 1 if wanted else 0):
-                times = np.bincount(rng.integers(0, blocks, size=blocks), minlength=blocks)
-                if r in wanted:
-                    at = np.flatnonzero(times)
-                    yield pd.DataFrame({"replicate": r, "block": at, "times": times[at]})
+            wanted = set(b["id"].tolist())
+            for scope, (n, start) in scopes.items():
+                rng = np.random.default_rng(start)
+                for r in range(max(wanted) + 1 if wanted else 0):
+                    times = np.bincount(rng.integers(0, n, size=n), minlength=n)
+                    if r in wanted:
+                        at = np.flatnonzero(times)
+                        yield pd.DataFrame({"scope": [scope] * len(at), "replicate": r, "block": at, "times": times[at]})
 
-    return spark.range(replicates).mapInPandas(draw, "replicate bigint, block bigint, times bigint")
+    plan = spark.range(replicates).mapInPandas(draw, "scope string, replicate bigint, block bigint, times bigint")
+    return plan if isinstance(blocks, dict) else plan.drop("scope")
 
 
-def bootstrap_counts(daily: DataFrame, group: list[str], counts: tuple[str, ...], replicates: int = 200, seed: int = 42) -> DataFrame:
-    """Percentile intervals (2.5, 97.5) of the scores when whole days are drawn with replacement.
+def bootstrap_counts(daily: DataFrame, days: DataFrame, replicates: int = 1000, seed: int = 42, prefixes: tuple[str, ...] = ("point", "best")) -> DataFrame:
+    """Scores with percentile intervals (2.5, 97.5) when whole days are drawn with replacement, per window, mode and stride.
 
-    ``daily``: one row per group and day with counts.  Days are numbered over all groups in order, and every group sees
-    the same draws; the daily table is joined with the drawn multiplicities and summed.
+    ``daily``: one row per group and day with counts.  The blocks are all of the timeline's ``days``; a day without a row
+    counts zeros.  Windows are drawn with seed ``seed`` + window; the groups of a window see the same draws.
+    """
+    group, names = ["window_min", "mode", "stride"], [f"{p}_{k}" for p in prefixes for k in ("tp", "fp", "fn", "tn")]
+    sql = lambda rounded: {k: e for p in prefixes for k, e in scores(*[f"{p}_{x}" for x in ("tp", "fp", "fn", "tn")], prefix=f"{p}_", rounded=rounded).items()}
+    numbered = days.select("day").distinct().withColumn("block", F.row_number().over(Window.orderBy("day")).cast("bigint") - 1)  # one row a day
+    blocks = numbered.count()
+    windows = sorted(r[0] for r in daily.select("window_min").distinct().collect())
+    plan = resampling(daily.sparkSession, replicates, {str(w): (blocks, seed + w) for w in windows}).withColumn("window_min", F.col("scope").cast("bigint"))
+    rows = daily.join(numbered, "day").join(plan, ["window_min", "block"]).groupBy(*group, "replicate").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in names])
+    rows = rows.select(*group, *[F.expr(e).alias(k) for k, e in sql(False).items()])
+    ends = rows.groupBy(*group).agg(*[F.percentile(k, F.array(F.lit(0.025), F.lit(0.975))).alias(k) for k in sql(False)])
+    ends = ends.select(*group, *[F.round(F.get(k, F.lit(i)), 6).alias(f"{k}_{e}") for k in sql(False) for i, e in enumerate(("low", "high"))])
+    whole = daily.groupBy(*group).agg(*[F.sum(c).alias(c) for c in names]).select(*group, F.lit(blocks).cast("bigint").alias("blocks"), F.lit(replicates).cast("bigint").alias("replicates"), *[F.expr(e).alias(k) for k, e in sql(True).items()])
+    return whole.join(ends, group, "left")
+
+
+EVENT_MEANS = {
+    "pod_point": "positive_steps > 0", "pod_3x3": "positive_steps_3x3 > 0", "zero_response_fraction_point": "grid_mm <= 0", "zero_response_fraction_3x3": "grid3x3_mm <= 0",
+}
+EVENT_MEDIANS = {
+    "median_ratio_point": "grid_mm / event_accum_mm", "median_ratio_3x3": "grid3x3_mm / event_accum_mm", "median_bias_mm_point": "grid_mm - event_accum_mm", "median_bias_mm_3x3": "grid3x3_mm - event_accum_mm",
+}
+
+
+def bootstrap_events(matched: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Day-block bootstrap of event metrics, over all events (seed ``seed``) and per window (``seed`` + window).
+
+    Blocks are the days with events of the scope.  Medians need the multiset, so each event counts as often as its day
+    was drawn; the means come from the days' sums.
     """
-    days = daily.select("day").distinct()
-    numbered = days.withColumn("block", F.row_number().over(Window.orderBy("day")).cast("bigint") - 1)  # one row a day
-    plan = resampling(daily.sparkSession, replicates, days.count(), seed)
-    rows = daily.join(numbered, "day").join(plan, "block").groupBy(*group, "replicate").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in counts])
-    s = scores(*counts)
-    rows = rows.select(*group, *[F.expr(e).alias(k) for k, e in s.items()])
-    ends = [F.percentile(k, F.array(F.lit(0.025), F.lit(0.975))).alias(k) for k in s]
-    return rows.groupBy(*group).agg(*ends).select(*group, *[F.round(F.get(k, F.lit(i)), 6).alias(f"{k}_{e}") for k in s for i, e in enumerate(("low", "high"))])
-
-
-def bootstrap_events(matched: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:
-    """Day-block bootstrap of event metrics: medians need the multiset, so each event counts as often as its day was drawn."""
     rows = matched.filter("grid_mm IS NOT NULL").withColumn("day", F.expr("end_min div 1440"))
-    days = rows.select("day").distinct()
-    numbered = days.withColumn("block", F.row_number().over(Window.orderBy("day")).cast("bigint") - 1)
-    plan = resampling(matched.sparkSession, replicates, days.count(), seed)
-    per = rows.join(numbered, "day").join(plan, "block").groupBy("replicate").agg(
-        F.expr("sum(times * CASE WHEN positive_steps > 0 THEN 1D ELSE 0D END) / sum(times)").alias("pod"), F.expr("sum(times * (grid_mm - event_accum_mm)) / sum(times)").alias("bias_mm"),
-        F.expr("percentile(grid_mm / event_accum_mm, 0.5D, times)").alias("median_ratio"), F.expr("percentile(grid3x3_mm / event_accum_mm, 0.5D, times)").alias("median_ratio_3x3"),
+    rows = rows.select("day", F.explode(F.array(F.lit("all"), F.col("window_min").cast("string"))).alias("scope"), *[F.expr(f"CAST({e} AS BIGINT)").alias(k) for k, e in EVENT_MEANS.items()], *[F.expr(e).alias(k) for k, e in EVENT_MEDIANS.items()])
+    rows = cut(rows)
+    mean = lambda w: [F.expr(f"sum({w}{k}) / sum({w}n)").alias(k) for k in EVENT_MEANS]
+    days = rows.groupBy("scope", "day").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in EVENT_MEANS])
+    days = cut(days.withColumn("block", F.row_number().over(Window.partitionBy("scope").orderBy("day")).cast("bigint") - 1))  # one row a scope and day
+    sizes = {r["scope"]: r["count"] for r in days.groupBy("scope").count().collect()}
+    plan = cut(resampling(matched.sparkSession, replicates, {k: (n, seed + (0 if k == "all" else int(k))) for k, n in sizes.items()}))
+    drawn = days.join(plan, ["scope", "block"])
+    means = drawn.groupBy("scope", "replicate").agg(*mean("times * "))
+    medians = rows.join(drawn.select("scope", "day", "replicate", "times"), ["scope", "day"]).groupBy("scope", "replicate").agg(*[F.expr(f"percentile({k}, 0.5D, times)").alias(k) for k in EVENT_MEDIANS])
+    item = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in (*EVENT_MEANS, *EVENT_MEDIANS)]))
+    ends = means.join(medians, ["scope", "replicate"]).select("scope", item).groupBy("scope", "metric").agg(
+        F.round(F.percentile("v", 0.025), 6).alias("low"), F.round(F.percentile("v", 0.975), 6).alias("high"), F.count("*").alias("replicates"),
     )
-    item = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("pod", "bias_mm", "median_ratio", "median_ratio_3x3")]
-    return per.select(F.inline(F.array(*item))).groupBy("metric").agg(F.round(F.percentile("v", 0.025), 6).alias("low"), F.round(F.percentile("v", 0.975), 6).alias("high"), F.count("*").alias("replicates"))
+    whole = days.groupBy("scope").agg(F.sum("n").alias("events"), F.count("*").alias("blocks"), *mean(""))
+    whole = whole.join(rows.groupBy("scope").agg(*[F.percentile(k, 0.5).alias(k) for k in EVENT_MEDIANS]), "scope").select("scope", "events", "blocks", item)
+    return whole.withColumn("v", F.round("v", 6)).withColumnRenamed("v", "estimate").join(ends, ["scope", "metric"])

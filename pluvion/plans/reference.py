@@ -455,9 +455,9 @@ def ref_and_thresholds(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFra
     return ref, ref.groupBy("station_id", "window_min").agg(F.round(F.percentile(F.when(F.col("strict") & (F.col("accum_mm") > 0), F.col("accum_mm")), 0.9), 6).alias("threshold_mm"))
 
 
-def confusion(spark: SparkSession, sf: str, keys: list[str]) -> DataFrame:
+def confusion(spark: SparkSession, sf: str, keys: list[str], fields: DataFrame | None = None) -> DataFrame:
     ref, gauge = ref_and_thresholds(spark, sf)
-    sat = cut(verify.satellite_windows(grid(spark, sf), cells(spark, sf)))
+    sat = cut(verify.satellite_windows(grid(spark, sf) if fields is None else fields, cells(spark, sf)))
     return verify.window_confusion(ref, sat, gauge, keys)
 
 
@@ -517,8 +517,9 @@ def areal_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bootstrap_counts_ci(spark: SparkSession, sf: str) -> DataFrame:
-    daily = cut(confusion(spark, sf, ["window_min", "day"]))
-    return verify.bootstrap_counts(daily, ["window_min", "mode", "stride"], ("point_tp", "point_fp", "point_fn", "point_tn"))
+    fields = grid(spark, sf)
+    daily = cut(confusion(spark, sf, ["window_min", "day"], fields))
+    return verify.bootstrap_counts(daily, fields.select(F.expr("(step * 30 + 30) div 1440").alias("day")))
 
 
 @query()
