@@ -86,6 +86,39 @@ def skill(matched: DataFrame, scope_sets: str = "((), (window_min))") -> DataFra
         FROM {{m}} GROUP BY GROUPING SETS {scope_sets}""", m=matched)
 
 
+def event_metrics(rows: DataFrame, keys: list[str], sets: str) -> DataFrame:
+    """The reference's event skill per grouping set of ``keys``, at the point and in 3 x 3 cells; with ``distance_km`` its median."""
+    both = lambda name, f: ", ".join(f"round({f(c)}, 6) AS {name}_{k}" for k, c in (("point", "grid_mm"), ("3x3", "grid3x3_mm")))
+    share = lambda test: f"avg(CASE WHEN {test} THEN 1.0D ELSE 0.0D END)"
+    a = "event_accum_mm"
+    return rows.sparkSession.sql(
+        f"""SELECT {', '.join(keys)}, count(*) AS events, count(DISTINCT station_id) AS stations, round({share('positive_steps > 0')}, 6) AS pod_point, round({share('positive_steps_3x3 > 0')}, 6) AS pod_3x3,
+          {both('median_ratio', lambda c: f'percentile({c} / {a}, 0.5D)')}, {both('median_bias_mm', lambda c: f'percentile({c} - {a}, 0.5D)')}, {both('mae_mm', lambda c: f'avg(abs({c} - {a}))')},
+          {both('rmse_mm', lambda c: f'sqrt(avg(({c} - {a}) * ({c} - {a})))')}, {both('underestimate_fraction', lambda c: share(f'{c} < {a}'))}, {both('zero_response_fraction', lambda c: share(f'{c} <= 0'))}
+          {", round(percentile(distance_km, 0.5D), 6) AS median_distance_km" if "distance_km" in rows.columns else ""} FROM {{r}} GROUP BY GROUPING SETS {sets}""", r=rows)
+
+
+def with_distance(displaced: DataFrame, cells: DataFrame, axis: DataFrame, step: float = 0.1) -> DataFrame:
+    """``displaced`` with the haversine distance from the station's cell centre to the best cell's; ``axis``: lat of each lat_idx."""
+    lat = cells.join(axis.select("lat_idx", "lat").distinct(), "lat_idx").select("station_id", "lat")
+    half = lambda x: F.pow(F.sin(F.radians(x) / 2), 2)
+    h = half(F.col("dj") * step) + F.cos(F.radians("lat")) * F.cos(F.radians(F.col("lat") + F.col("dj") * step)) * half(F.col("di") * step)
+    return displaced.join(lat, "station_id", "left").withColumn("distance_km", F.round(2 * 6371.0 * F.asin(F.sqrt(h)), 6)).drop("lat")
+
+
+def displacement_statistics(rows: DataFrame, case: DataFrame) -> DataFrame:
+    """Amplitude and displacement over all events, per window, and per case day and window (``case``: day)."""
+    days = rows.withColumn("day", F.expr("end_min div 1440")).join(F.broadcast(case.select("day")), "day")
+    share = lambda test: f"round(avg(CASE WHEN {test} THEN 1.0D ELSE 0.0D END), 6)"
+    median = lambda c, q=0.5: f"round(percentile({c}, {q}D), 6)"
+    stats = f"""count(*) AS events, count(DISTINCT station_id) AS stations, {median('distance_km')} AS median_distance_km, {median('distance_km', 0.9)} AS p90_distance_km, {share('same_cell')} AS fraction_same_cell,
+      {share('NOT same_cell')} AS fraction_displaced, {share('improves')} AS fraction_gain_positive, {median('gain_mm')} AS median_gain_mm, {median('gain_ratio')} AS median_gain_ratio, {median('point_mm / event_accum_mm')} AS median_point_recovery_ratio,
+      {median('recovery_ratio')} AS median_3x3_recovery_ratio, round(sum(event_accum_mm), 4) AS gauge_sum_mm, round(sum(point_mm), 4) AS point_sum_mm, round(sum(best_mm), 4) AS best_sum_mm"""
+    return rows.sparkSession.sql(
+        f"""SELECT CASE WHEN window_min IS NULL THEN 'all' ELSE 'window' END AS scope, CAST(NULL AS BIGINT) AS day, window_min, {stats} FROM {{r}} GROUP BY GROUPING SETS ((), (window_min))
+        UNION ALL SELECT 'case', day, window_min, {stats} FROM {{d}} GROUP BY day, window_min""", r=rows, d=days)
+
+
 def satellite_windows(grid: DataFrame, cells: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """Per station, half-hour end and window: grid rain at the point and of the largest cell per half-hour (sum of
     maxima); strict only if every half-hour of the window has a value."""

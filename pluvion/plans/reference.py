@@ -701,3 +701,77 @@ def fig_ets_curves(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLES["fig_ets_curves"] = ORACLES["fig_ets_curves"].replace(AREA, AREA.replace(",\n" + CELL, ""))
+
+
+# ---------------------------------------------------------------- full metrics of displacement, strata and policy
+
+
+def measured(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Matched events and displacements with distance, from one catalogue and grid."""
+    events, where, fields = catalog(spark, sf), cells(spark, sf), grid(spark, sf)
+    moved = verify.with_distance(verify.displacement(events, where, fields), where, table(spark, sf, "cv_imerg_grid_cells"))
+    return cut(verify.event_match(events, where, fields)), cut(moved)
+
+
+def _case_days(m: DataFrame) -> DataFrame:
+    rows = m.filter("window_min = 360").filter(F.month(F.timestamp_seconds(F.col("end_min") * 60)).isin(9, 10, 11))
+    days = rows.groupBy(F.expr("end_min div 1440").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("station_id").alias("s"), F.round(F.sum("event_accum_mm"), 4).alias("mm"))
+    return days.orderBy(F.col("s").desc(), F.col("mm").desc(), F.col("n").desc(), "day").limit(2)
+
+
+@query()
+def displacement_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return measured(spark, sf)[1]
+
+
+@query()
+def displacement_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    m, moved = measured(spark, sf)
+    return verify.displacement_statistics(moved, _case_days(m))
+
+
+@query()
+def stratified_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """All metrics of every stratum; the given stations have no province."""
+    m, moved = measured(spark, sf)
+    m = m.join(moved.select("station_id", "window_min", "end_min", "distance_km"), ["station_id", "window_min", "end_min"], "left").join(_strata(spark, sf), "station_id")
+    season = F.when(F.month(F.timestamp_seconds(F.col("end_min") * 60)).isin(9, 10, 11), "SON").otherwise("Rest")
+    kind = lambda f, c: F.struct(F.lit(f).alias("family"), c.alias("stratum"))
+    rows = m.select("*", F.inline(F.array(kind("all", F.lit("all")), kind("season", season), kind("coast", F.col("coast_group")), kind("altitude", F.col("altitude_group")))))
+    return verify.event_metrics(rows, ["family", "stratum", "coalesce(CAST(window_min AS STRING), 'all') AS scale"], "((family, stratum), (family, stratum, window_min))")
+
+
+@query()
+def policy_skill(spark: SparkSession, sf: str) -> DataFrame:
+    """Skill before and after the policy, and the filtered minus the baseline value of each metric."""
+    m = matched(spark, sf)
+    kept = m.join(policy(spark, sf).filter("excluded"), ["station_id", "window_min", "end_min"], "left_anti")
+    both = m.withColumn("scenario", F.lit("baseline")).unionByName(kept.withColumn("scenario", F.lit("filtered")))
+    return policy_rows(both)
+
+
+def policy_rows(both: DataFrame) -> DataFrame:
+    s = cut(verify.event_metrics(both, ["scenario", "coalesce(CAST(window_min AS STRING), 'all') AS scope"], "((scenario), (scenario, window_min))"))
+    names = [c for c in s.columns if c not in ("scenario", "scope")]
+    delta = s.filter("scenario = 'baseline'").alias("b").join(s.filter("scenario = 'filtered'").alias("f"), "scope")
+    whole = lambda c: F.col(f"f.{c}") - F.col(f"b.{c}")
+    return s.unionByName(delta.select(F.lit("delta").alias("scenario"), "scope", *[(whole(c) if c in ("events", "stations") else F.round(whole(c), 6)).alias(c) for c in names]))
+
+
+@query()
+def fig_event_pod(spark: SparkSession, sf: str) -> DataFrame:
+    """The event detection rates of the multiscale figure with their intervals."""
+    return bootstrap_events_ci(spark, sf).filter("metric IN ('pod_point', 'pod_3x3')")
+
+
+@query()
+def fig_displacement(spark: SparkSession, sf: str) -> DataFrame:
+    return displacement_statistics(spark, sf).filter("scope <> 'all'").select("scope", "day", "window_min", "events", "median_distance_km", "p90_distance_km", "fraction_same_cell", "fraction_displaced", "fraction_gain_positive", "median_gain_mm", "median_point_recovery_ratio", "median_3x3_recovery_ratio")
+
+
+@query()
+def fig_stratification(spark: SparkSession, sf: str) -> DataFrame:
+    """Seasons and coast over all four windows, NULL where a stratum has no event."""
+    s = cut(stratified_skill(spark, sf).filter("family IN ('season', 'coast')"))
+    scales = spark.createDataFrame([(str(w),) for w in win_ops.WINDOWS], "scale string")
+    return s.select("family", "stratum").distinct().crossJoin(scales).join(s, ["family", "stratum", "scale"], "left")
