@@ -86,6 +86,23 @@ def skill(matched: DataFrame, scope_sets: str = "((), (window_min))") -> DataFra
         FROM {{m}} GROUP BY GROUPING SETS {scope_sets}""", m=matched)
 
 
+def group_medians(rows: DataFrame, keys: list[str], value: str = "accum_mm") -> DataFrame:
+    """``rows`` with ``stations``, ``area_median`` and ``loo_median`` (of the other rows of the group, NULL if none).
+
+    Both come from the group's sorted values by rank, without pairs: the group's middle values are attached to its rows.
+    """
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(value, "station_id"))).withColumn("stations", F.count("*").over(Window.partitionBy(*keys)))
+    low = F.expr("(stations + 1) div 2")
+    middle = ranked.filter(F.col("__r").between(low - 1, low + 2)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct((F.col("__r") - low).alias("k"), F.col(value).alias("v")))).alias("__m"))
+    out = ranked.join(middle, keys).withColumn("__o", F.col("__r") - low)
+    # of n sorted values without rank r, the k-th is number k, or k + 1 from r on; offsets are from rank (n + 1) div 2
+    return out.withColumns({
+        "area_median": F.expr("CASE WHEN stations % 2 = 1 THEN __m[0L] ELSE (__m[0L] + __m[1L]) / 2 END"),
+        "loo_median": F.expr("""CASE WHEN stations < 2 THEN NULL WHEN stations % 2 = 0 THEN CASE WHEN __o <= 0 THEN __m[1L] ELSE __m[0L] END
+          ELSE ((CASE WHEN __o <= -1 THEN __m[0L] ELSE __m[-1L] END) + (CASE WHEN __o <= 0 THEN __m[1L] ELSE __m[0L] END)) / 2 END"""),
+    }).drop("__r", "__m", "__o")
+
+
 def event_metrics(rows: DataFrame, keys: list[str], sets: str) -> DataFrame:
     """The reference's event skill per grouping set of ``keys``, at the point and in 3 x 3 cells; with ``distance_km`` its median."""
     both = lambda name, f: ", ".join(f"round({f(c)}, 6) AS {name}_{k}" for k, c in (("point", "grid_mm"), ("3x3", "grid3x3_mm")))
@@ -152,16 +169,9 @@ def window_confusion(ref: DataFrame, sat: DataFrame, gauge: DataFrame, keys: lis
 
 
 def areal_baseline(ref: DataFrame, areas: DataFrame, gauge: DataFrame) -> DataFrame:
-    """Each station against the median of its area, and against the median of the other stations there (leave one out).
-
-    Pairs of stations are made only within one area and half-hour, where there are at most as many as the area has.
-    """
+    """Each station against the median of its area, and against the median of the other stations there (leave one out)."""
     rows = ref.filter("strict").select("station_id", "ref_end", "window_min", "accum_mm").join(areas, "station_id").join(gauge.filter("threshold_mm > 0").select("station_id", "window_min", "threshold_mm"), ["station_id", "window_min"])
-    keys = ["area", "ref_end", "window_min"]
-    med = rows.groupBy(*keys).agg(F.percentile("accum_mm", 0.5).alias("area_median"), F.count("*").alias("stations"))
-    others = rows.select(*keys, F.col("station_id").alias("other"), F.col("accum_mm").alias("other_mm"))
-    loo = rows.join(others, keys).filter("station_id <> other").groupBy("station_id", "ref_end", "window_min").agg(F.percentile("other_mm", 0.5).alias("loo_median"))
-    rows = rows.join(med, keys).join(loo, ["station_id", "ref_end", "window_min"], "left")
+    rows = group_medians(rows, ["area", "ref_end", "window_min"])
     kind = lambda name, c, ok: F.when(ok, F.struct(F.lit(name).alias("subset"), F.col(c).alias("m")))
     many = F.col("stations") >= 2
     rows = rows.select("*", F.explode(F.array_compact(F.array(kind("all_cells", "area_median", F.lit(True)), kind("multi_station_cells", "area_median", many), kind("leave_one_out", "loo_median", many)))).alias("s"))

@@ -498,9 +498,8 @@ def cell_median(spark: SparkSession, sf: str) -> DataFrame:
 def loo_cell_median(spark: SparkSession, sf: str) -> DataFrame:
     ref, gauge = ref_and_thresholds(spark, sf)
     rows = ref.filter("strict").join(areas(spark, sf), "station_id").join(gauge.filter("threshold_mm > 0"), ["station_id", "window_min"]).select("station_id", "area", "ref_end", "window_min", "accum_mm")
-    other = rows.select("area", "ref_end", "window_min", F.col("station_id").alias("other"), F.col("accum_mm").alias("mm"))
-    pairs = rows.join(other, ["area", "ref_end", "window_min"]).filter("station_id <> other")
-    return pairs.groupBy("station_id", "ref_end", "window_min").agg(F.round(F.percentile("mm", 0.5), 4).alias("loo_median_mm"))
+    rows = verify.group_medians(rows, ["area", "ref_end", "window_min"]).filter("stations >= 2")
+    return rows.select("station_id", "ref_end", "window_min", F.round("loo_median", 4).alias("loo_median_mm"))
 
 
 _SC = verify.scores()
@@ -775,3 +774,35 @@ def fig_stratification(spark: SparkSession, sf: str) -> DataFrame:
     s = cut(stratified_skill(spark, sf).filter("family IN ('season', 'coast')"))
     scales = spark.createDataFrame([(str(w),) for w in win_ops.WINDOWS], "scale string")
     return s.select("family", "stratum").distinct().crossJoin(scales).join(s, ["family", "stratum", "scale"], "left")
+
+
+# ---------------------------------------------------------------- baseline per grid cell
+
+
+def single_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Each station's own grid cell as its area."""
+    return cells(spark, sf).select("station_id", F.struct("lon_idx", "lat_idx").alias("area"))
+
+
+@query()
+def cell_medians_by_cell(spark: SparkSession, sf: str) -> DataFrame:
+    """Per station, half-hour end and window: the median of its grid cell and of the other stations there."""
+    ref, gauge = ref_and_thresholds(spark, sf)
+    rows = ref.filter("strict").join(single_cells(spark, sf), "station_id").join(gauge.filter("threshold_mm > 0"), ["station_id", "window_min"])
+    rows = verify.group_medians(rows.select("station_id", "area", "ref_end", "window_min", "accum_mm"), ["area", "ref_end", "window_min"])
+    return rows.select("station_id", "area.*", "ref_end", "window_min", "stations", F.round("area_median", 4).alias("median_mm"), F.round("loo_median", 4).alias("loo_median_mm"))
+
+
+@query()
+def areal_baseline_by_cell(spark: SparkSession, sf: str) -> DataFrame:
+    ref, gauge = ref_and_thresholds(spark, sf)
+    return verify.areal_baseline(ref, single_cells(spark, sf), gauge).withColumns({k: F.expr(e) for k, e in _SC.items()})
+
+
+@query()
+def fig_ets_four_curves(spark: SparkSession, sf: str) -> DataFrame:
+    s = window_confusion_scale(spark, sf).filter("stride = 'scale_stride' AND mode = 'fixed'").select("window_min", F.col("point_ets").alias("ets_point"), F.col("best_ets").alias("ets_best"))
+    b = cut(areal_baseline_by_cell(spark, sf))
+    for subset in ("multi_station_cells", "leave_one_out"):
+        s = s.join(b.filter(F.col("subset") == subset).select("window_min", F.col("ets").alias(f"ets_{subset}")), "window_min", "left")
+    return s
