@@ -53,7 +53,7 @@ def nearest_inside_cells(stations: DataFrame, cells: DataFrame, step_deg: float
     """Nearest cell among those inside the polygon, by squared degrees; ties by (lon_idx, lat_idx).
 
     Cells are looked up in growing squares around the axis cell: an answer counts once nothing outside can be nearer.
-    A station more than 128 cells from every inside cell gives no row.
+    Stations still without a sure answer after 128 cells are compared with every inside cell.
     """
     inside = cells.filter("inside_cv_polygon").select("lon_idx", "lat_idx", F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"))
     ask, done, ring = cut(nearest_axis_cells(stations, cells).select("station_id", "lat", "lon", F.col("lon_idx").alias("i"), F.col("lat_idx").alias("j"))), None, 2
@@ -63,13 +63,17 @@ def nearest_inside_cells(stations: DataFrame, cells: DataFrame, step_deg: float
         square = ask.withColumn("di", F.explode(around)).withColumn("dj", F.explode(around)).withColumns({"lon_idx": F.col("i") + F.col("di"), "lat_idx": F.col("j") + F.col("dj")})
         hit = square.join(inside, ["lon_idx", "lat_idx"]).withColumn("d2", F.round(F.pow(F.col("lon") - F.col("c_lon"), 2) + F.pow(F.col("lat") - F.col("c_lat"), 2), 9))
         best = hit.withColumn("k", F.row_number().over(order)).filter("k = 1").select("station_id", "lon_idx", "lat_idx", "d2")
-        last = ring >= 128
-        sure = cut(best if last else best.filter(F.sqrt("d2") <= (ring + 0.5) * step_deg - 1e-9))
+        sure = cut(best.filter(F.sqrt("d2") <= (ring + 0.5) * step_deg - 1e-9))
         done = sure if done is None else done.unionByName(sure)
         ask = cut(ask.join(sure, "station_id", "left_anti"))
-        if last or ask.isEmpty():
+        if ask.isEmpty():
             return done
+        if ring >= 128:
+            break
         ring *= 8
+    d2 = F.round(F.pow(F.col("lon") - F.col("c_lon"), 2) + F.pow(F.col("lat") - F.col("c_lat"), 2), 9)
+    rest = ask.crossJoin(inside).groupBy("station_id").agg(F.min(F.struct(d2.alias("d2"), "lon_idx", "lat_idx")).alias("b"))
+    return done.unionByName(rest.select("station_id", "b.lon_idx", "b.lat_idx", "b.d2"))
 
 
 KM_PER_DEGREE = 111.19492664455873  # on a sphere of radius 6371 km
