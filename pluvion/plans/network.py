@@ -9,10 +9,10 @@ from pluvion.operators import intervals, late, near, regular, spikes, stamps
 from pluvion.session import table
 
 
-def records(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """raw_window's columns with both stamps as instants (t_ms, n_ms)."""
+def records(spark: SparkSession, sf: str, *columns: str, arrived_too: bool = True) -> DataFrame:
+    """raw_window's columns with both stamps as instants (t_ms, n_ms), or only the first."""
     raw = table(spark, sf, "raw_window").select("ingest_order", "station_id", "timestamp_utc", "inserted_ts", *columns)
-    return stamps.normalise_stamps(raw, table(spark, sf, "station_clocks")).drop("timestamp_utc", "inserted_ts")
+    return stamps.normalise_stamps(raw, table(spark, sf, "station_clocks"), arrived_too=arrived_too).drop("timestamp_utc", "inserted_ts")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,7 +40,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_series(spark: SparkSession, sf: str) -> DataFrame:
     """The half-hourly series per station, gaps imputed and marked."""
-    return regular.regular_series(regular.bucketed(records(spark, sf, "precip_raw_mm")))
+    return regular.regular_series(regular.bucketed(records(spark, sf, "precip_raw_mm", arrived_too=False)))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +49,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return spikes.implausible(records(spark, sf, *spikes.FIELDS)).select("ingest_order", "field")
+    return spikes.implausible(records(spark, sf, *spikes.FIELDS, arrived_too=False)).select("ingest_order", "field")
 
 
 def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
