@@ -84,7 +84,7 @@ def _round(items: DataFrame, number: int, shards: int, capacity: int) -> DataFra
     return sharded.groupBy("shard").applyInPandas(pack, f"{key} {kind}, part bigint, token_start bigint, n_tokens bigint, bin_id bigint, fill bigint")
 
 
-def pack(sizes: DataFrame, capacity: int = 4096, shard_items: int = 50_000, tight: float = 0.99) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = 4096, shard_items: int = 10_000, tight: float = 0.99) -> DataFrame:
     """(key, part, token_start, n_tokens, bin_id, fill) of ``sizes`` (key, n_tokens): a bin for every item.
 
     Only an item above the capacity is divided, into full parts and a rest.  Items are dealt to shards of about

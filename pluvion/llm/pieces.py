@@ -8,6 +8,7 @@ is encoded once per worker, so that repeated words cost one look-up.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import numpy as np
@@ -129,6 +130,18 @@ class TokenCounter:
         return starts, counts[back]
 
 
+def slices(texts: list[str | None], most_chars: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of successive texts with at most ``most_chars`` characters together, or of one longer text."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j] or "") <= most_chars):
+            size += len(texts[j] or "") + 2
+            j += 1
+        yield i, j
+        i = j
+
+
 @cache
 def counter(path: str) -> TokenCounter:
     return TokenCounter(path)
@@ -143,12 +156,7 @@ def text_token_counts(texts: list[str | None], path: str, batch_chars: int = 2_0
     """Tokens of each text (0 for None); texts are joined to batches by a character that no piece crosses."""
     out = np.zeros(len(texts), dtype=np.int64)
     count = counter(path)
-    i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j] or "") <= batch_chars):
-            size += len(texts[j] or "") + 2
-            j += 1
+    for i, j in slices(texts, batch_chars):
         # White space at a text's ends is cut otherwise inside a batch: at the end it is counted apart, at the start the text is.
         bodies = {k: texts[k].rstrip(" \t\n\r\f\v") for k in range(i, j) if texts[k]}
         joint = [k for k, body in bodies.items() if body and SPACE not in classes()[[ord(body[0]), ord(body[-1])]]]
@@ -163,5 +171,4 @@ def text_token_counts(texts: list[str | None], path: str, batch_chars: int = 2_0
             for k in joint:
                 if len(bodies[k]) < len(texts[k]):
                     out[k] += tail_tokens(texts[k][len(bodies[k]) :], path)
-        i = j
     return out

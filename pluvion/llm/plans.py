@@ -6,17 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvion.llm import leaks, packing, percentiles, splitting
-from pluvion.session import table
+from pluvion.session import cut, table
 
 QS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 MEASURES = ("threshold_mm", "median_coverage_ratio", "p95_coverage_ratio", "p99_accum_mm_strict", "max_accum_mm_strict")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents, in Arrow batches of at most 500 rows: single texts may be very long."""
-    rows = table(spark, sf, "documents").select("doc_id", "text")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    return rows
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def _readings(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,9 +38,9 @@ def p7_summary_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 def p7_combined_days(spark: SparkSession, sf: str) -> DataFrame:
     """Bounds of the stations' percentiles from histograms of separate days, added up (32 of 64 bits kept)."""
     t = table(spark, sf, "avamet_cv_qc").select("station_id", F.to_date("timestamp_utc").alias("day"), "precip_raw_mm")
-    days = percentiles.digit_histogram(percentiles.value_counts(t, ["station_id", "day"], "precip_raw_mm"), ["station_id", "day"])
+    days = percentiles.digit_histogram(percentiles.keyed(t, ["station_id", "day"], "precip_raw_mm"), ["station_id", "day"])
     total = percentiles.merge_counts(days.drop("day"), group=["station_id"])
-    return percentiles.percentiles(total, ["station_id"], QS, digits=2)
+    return percentiles.percentiles(cut(total), ["station_id"], QS, digits=2)
 
 
 def p8_packed(spark: SparkSession, sf: str) -> DataFrame:

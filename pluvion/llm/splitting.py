@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvion.llm.pieces import VOCABULARY, code_points, counter, encoding, span_hashes, text_token_counts
+from pluvion.llm.pieces import DIGIT, VOCABULARY, classes, code_points, counter, encoding, span_hashes, text_token_counts
 
 FILE, HUNK, PARAGRAPH, LINE, INSIDE = "file", "hunk", "paragraph", "line", "inside"
 LEVEL = {FILE: 3, HUNK: 2, PARAGRAPH: 1, LINE: 0}
 OPENERS = [ord(c) for c in "dIFc@-*"]  #: first characters of headers
-WIDTH = 64  #: dimensions into which a line's words are hashed
+WEIGHT = np.array([1.0, 1.1, 1.2, 1.3])  #: by which a boundary's level multiplies the depth of its valley
 BLOCK = 8  #: lines on each side of a boundary that are compared
 
 
@@ -47,43 +47,63 @@ def boundaries(text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return piece[keep], level[keep]
 
 
-def valley_depths(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How deep the similarity of the lines before and after each boundary lies below its surroundings.
+def words_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word (run of letters and digits), without regard to ASCII case."""
+    part = np.concatenate([[False], classes()[points] <= DIGIT, [False]])
+    edge = np.flatnonzero(part[1:] != part[:-1])
+    upper = (points >= 65) & (points <= 90)
+    return edge[::2], span_hashes(np.where(upper, points + np.uint32(32), points).astype(np.uint32), edge[::2], edge[1::2])
 
-    Lines (the pieces between boundaries ``at``) become hashed word counts; the similarity at a boundary is the cosine of
-    the sums over BLOCK lines on each side, and its depth the rise to the highest similarity within BLOCK boundaries to
-    the left plus that to the right.  Works through very long texts in strips.
+
+def _block_products(line: np.ndarray, word: np.ndarray, count: np.ndarray, size: int, n: int) -> np.ndarray:
+    """For j = 0 ... n - 1 the squared length of the word vector of lines j - size + 1 ... j.
+
+    The triples (line, word, count) are sorted by word, then line; two occurrences of a word less than ``size`` lines
+    apart meet in the blocks that hold both, a range of j that is added by its two ends.
+    """
+    change = np.zeros(n + size + 1)
+    np.add.at(change, line, count * count)
+    np.subtract.at(change, line + size, count * count)
+    for lag in range(1, size):
+        a, b = slice(None, -lag), slice(lag, None)
+        near = np.flatnonzero((word[a] == word[b]) & (line[b] - line[a] < size))
+        if not len(near):
+            break
+        product = 2 * count[near] * count[near + lag]
+        np.add.at(change, line[near + lag], product)
+        np.subtract.at(change, line[near] + size, product)
+    return np.cumsum(change)[:n]
+
+
+def valley_depths(hashes: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """How deep the similarity of the lines before and after each of ``n`` boundaries lies below its surroundings.
+
+    ``hashes`` are a text's words and ``line`` (0 ... n) the lines that hold them.  The similarity at a boundary is the
+    cosine of the word counts of BLOCK lines on each side, and its depth the rise to the highest similarity within BLOCK
+    boundaries to the left plus that to the right.
     """
-    n = len(at)
-    depth, strip = np.zeros(n), 8192
-    line = np.searchsorted(at, np.arange(len(hashes)), side="right")  # 0 ... n
-    bounds = np.searchsorted(line, np.arange(n + 2))
-    for lo in range(0, n, strip):
-        hi = min(n, lo + strip)
-        a, b = max(0, lo - 2 * BLOCK), min(n, hi + 2 * BLOCK)  # boundaries whose similarity is needed
-        first, last = max(0, a - BLOCK + 1), min(n, b + BLOCK)  # their lines
-        p = slice(bounds[first], bounds[last + 1])
-        cells = (line[p] - first) * WIDTH + (hashes[p] % np.uint64(WIDTH)).astype(np.int64)
-        total = np.zeros((last - first + 2, WIDTH))
-        np.cumsum(np.bincount(cells, minlength=(last - first + 1) * WIDTH).reshape(-1, WIDTH), axis=0, out=total[1:])
-        i = np.arange(a, b) + 1 - first  # the line after boundary j is line j + 1
-        before = total[i] - total[np.maximum(i - BLOCK, 0)]
-        after = total[np.minimum(i + BLOCK, len(total) - 1)] - total[i]
-        similar = (before * after).sum(axis=1) / np.sqrt((before**2).sum(axis=1) * (after**2).sum(axis=1) + 1e-9)
-        padded = np.pad(similar, BLOCK, mode="edge")
-        view = np.lib.stride_tricks.sliding_window_view(padded, BLOCK + 1).max(axis=1)
-        d = view[: len(similar)] + view[BLOCK : BLOCK + len(similar)] - 2 * similar
-        depth[lo:hi] = d[lo - a : lo - a + hi - lo]
-    return depth
+    if not len(hashes) or not n:
+        return np.zeros(n)
+    order = np.lexsort((line, hashes))
+    h, k = hashes[order], line[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])]))
+    count = np.diff(np.append(new, len(h))).astype(float)
+    triples = (k[new], h[new], count)
+    one, two = _block_products(*triples, BLOCK, n + BLOCK + 1), _block_products(*triples, 2 * BLOCK, n + BLOCK + 1)
+    j = np.arange(n)  # between line j and line j + 1
+    before, after, both = one[j], one[j + BLOCK], two[j + BLOCK]
+    similar = (both - before - after) / 2 / np.sqrt(np.maximum(before * after, 1e-9))
+    view = np.lib.stride_tricks.sliding_window_view(np.pad(similar, BLOCK, mode="edge"), BLOCK + 1).max(axis=1)
+    return view[:n] + view[BLOCK : BLOCK + n] - 2 * similar
 
 
 def split_text(text: str, limit: int, overlap: int, path: str, least: float = 0.5) -> list[tuple[int, int, int, int, str]]:
     """(start, end, tokens, tokens shared with the piece before, kind of boundary before) of each piece of a text.
 
     Every piece has at most ``limit`` tokens.  Cuts lie where pre-tokens start, so that the pieces' tokens are those of
-    the whole text.  Within the window of sizes between ``least`` and all of the room, the boundary of the highest level
-    counts, among those the deepest valley, then the latest; without one there, the latest line in reach; without a line
-    break, the latest pre-token.  A piece begins with as many pre-tokens before its cut as fit into ``overlap`` tokens.
+    the whole text.  Within the window of sizes between ``least`` and all of the room, the boundary in the deepest valley
+    counts, where a file's, hunk's or paragraph's start weighs a little more than a line's (WEIGHT), then the higher level,
+    then the latest; without one there, the latest line in reach; without a line break, the latest pre-token.  A piece begins with as many pre-tokens before its cut as fit into ``overlap`` tokens.
     """
     starts, counts = counter(path).pieces(text)
     points = code_points(text)
@@ -104,9 +124,10 @@ def split_text(text: str, limit: int, overlap: int, path: str, least: float = 0.
     if total[-1] <= limit:
         return [(0, len(points), int(total[-1]), 0, "")]
     at, level = boundaries(text, starts)
-    hashes = span_hashes(points, starts, np.append(starts[1:], len(points)))
-    depth = valley_depths(hashes, at) if len(at) else np.zeros(0)
-    position, score = total[at], level * 100 + np.round(depth, 6)
+    at_word, hashes = words_of(points)
+    line = np.searchsorted(starts[at], at_word, side="right") if len(at) else np.zeros(len(hashes), int)
+    depth = valley_depths(hashes, line, len(at))
+    position, score = total[at], np.round(depth * WEIGHT[level], 6) + 1e-7 * level
     out, begin, cut, kind, n = [], 0, 0, "", len(starts)
     while True:
         left = limit - int(total[cut] - total[begin])
