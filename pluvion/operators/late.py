@@ -16,6 +16,18 @@ MINUTE_MS = 60_000
 KEYS = ("station_id", "period_start_min", "source_ms", "cutoff_min")
 
 
+def entries(df: DataFrame, cutoffs_min: Sequence[int], value: str = "precip_raw_mm", taken_ms: str = "t_ms", arrived_ms: str = "n_ms", order: str = "ingest_order", period_min: int = 60, also: Sequence[str] = ()) -> DataFrame:
+    """(station_id, period_start_min, source_ms, also, n, o, v, cutoff_min): each record for each cut-off that it arrived by."""
+    start = F.expr(f"floor({taken_ms} / {period_min * MINUTE_MS}) * {period_min}").cast("bigint")
+    rows = (
+        df.select(F.col("station_id"), start.alias("period_start_min"), F.col(taken_ms).alias("source_ms"), *also, F.col(arrived_ms).alias("n"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
+        .filter("station_id IS NOT NULL AND source_ms IS NOT NULL AND n IS NOT NULL AND o IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)")
+    )
+    lateness = F.col("n") - (F.col("period_start_min") + period_min) * MINUTE_MS
+    reached = F.filter(F.array(*[F.lit(int(c)) for c in cutoffs_min]), lambda c: lateness <= c * MINUTE_MS)
+    return rows.withColumn("cutoff_min", F.explode(reached))
+
+
 def late_counters(df: DataFrame, value: str = "precip_raw_mm", taken_ms: str = "t_ms", arrived_ms: str = "n_ms", order: str = "ingest_order", period_min: int = 60, cutoffs_min: Sequence[int] = (10, 1440)) -> DataFrame:
     """Counter entries of a batch: (station_id, period_start_min, source_ms, cutoff_min, version, value).
 
@@ -24,14 +36,7 @@ def late_counters(df: DataFrame, value: str = "precip_raw_mm", taken_ms: str = "
     Rows are combined before the shuffle, and the key holds the reading, so that a station with a third of all rows is
     spread like any other.
     """
-    start = F.expr(f"floor({taken_ms} / {period_min * MINUTE_MS}) * {period_min}").cast("bigint")
-    rows = (
-        df.select(F.col("station_id"), start.alias("period_start_min"), F.col(taken_ms).alias("source_ms"), F.col(arrived_ms).alias("n"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
-        .filter("station_id IS NOT NULL AND source_ms IS NOT NULL AND n IS NOT NULL AND o IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)")
-    )
-    lateness = F.col("n") - (F.col("period_start_min") + period_min) * MINUTE_MS
-    reached = F.filter(F.array(*[F.lit(int(c)) for c in cutoffs_min]), lambda c: lateness <= c * MINUTE_MS)
-    rows = rows.withColumn("cutoff_min", F.explode(reached))
+    rows = entries(df, cutoffs_min, value, taken_ms, arrived_ms, order, period_min)
     return rows.groupBy(*KEYS).agg(F.max(F.struct("n", "o", "v")).alias("entry"))
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pluvion.session import cut
+
 EARTH_KM = 6371.0
 
 
@@ -58,10 +60,8 @@ def leaves_near(splits: np.ndarray, depth: int, chord: float):
             gap = v[row, level % 3] - splits[2**level - 1 + at]
             left, right = gap < chord, gap >= -chord
             row, at = np.concatenate([row[left], row[right]]), np.concatenate([2 * at[left], 2 * at[right] + 1])
-        out = [[] for _ in range(len(x))]
-        for r, a in zip(row.tolist(), at.tolist()):
-            out[r].append(a)
-        return pd.Series(out)
+        order = np.argsort(row, kind="stable")
+        return pd.Series(np.split(at[order].astype(np.int32), np.searchsorted(row[order], np.arange(1, len(x)))) if len(x) else [])
 
     return leaves
 
@@ -100,12 +100,14 @@ def query_tree(node, points: np.ndarray, asked: np.ndarray, chord: float, which:
         out.append((w[q], node[p]))
 
 
-def within(questions: DataFrame, targets: DataFrame, radius_km: float, question_id: str, target_id: str, lat: str = "lat", lon: str = "lon", leaf_targets: int = 128, task_rows: int = 100_000, max_depth: int = 12) -> DataFrame:
+def within(questions: DataFrame, targets: DataFrame, radius_km: float, question_id: str, target_id: str, lat: str = "lat", lon: str = "lon", leaf_targets: int = 128, task_rows: int = 100_000, task_targets: int = 4_000, task_pairs: int = 20_000_000, max_depth: int = 12) -> DataFrame:
     """(``question_id``, ``target_id``, distance_km): each pair at most ``radius_km`` apart by great circle.
 
     Both sides become unit vectors.  Space is cut by k-d splits fitted to the targets; a target is copied to every leaf
-    within the chord of the radius, a question goes to its own leaf only.  Leaves with many questions are salted into
-    parts of about ``task_rows``, and their targets copied to each part.  Each part builds a local k-d tree.
+    within the chord of the radius, a question goes to its own leaf only.  A leaf is dealt out in a grid of parts: its
+    targets to columns of about ``task_targets`` (more than one only where many share a place), its questions to rows of
+    at most ``task_rows``, so that no part can give more than about ``task_pairs`` pairs; questions are copied to each
+    column and targets to each row.  Each part builds a local k-d tree.
 
     Defined results: rows without a position give nothing, NULL ids are kept as values, repeated rows give repeated
     pairs, equal positions are at distance 0, empty sides give no rows, other columns are ignored.
@@ -117,13 +119,17 @@ def within(questions: DataFrame, targets: DataFrame, radius_km: float, question_
     depth = min(max_depth, max(0, math.ceil(math.log2(max(1, there.count()) / leaf_targets))))
     splits = fit_splits(there, depth)
     asked = asked.withColumn("leaf", leaf_of(splits, depth)(*xyz))
-    parts = np.ones(2**depth, dtype=np.int64)
-    for r in asked.groupBy("leaf").count().collect():  # at most 2^depth rows
-        parts[r["leaf"]] = math.ceil(r["count"] / task_rows)
-    per_leaf = F.array(*[F.lit(int(n)).cast("bigint") for n in parts])
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("__q", *xyz), F.get(per_leaf, F.col("leaf"))))
     there = there.withColumn("leaf", F.explode(leaves_near(splits, depth, chord)(*xyz)))
-    there = there.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.get(per_leaf, F.col("leaf")) - 1)))
+    n, m = (np.zeros(2**depth, dtype=np.int64) for _ in range(2))
+    for counts, side in ((n, asked), (m, there)):
+        for r in side.groupBy("leaf").count().collect():  # at most 2^depth rows
+            counts[r["leaf"]] = r["count"]
+    columns = np.maximum(1, -(-m // task_targets))
+    rows = np.maximum(1, -(-n // np.maximum(1, np.minimum(task_rows, task_pairs // np.clip(m, 1, task_targets)))))
+    of_leaf = lambda numbers: F.get(F.array(*[F.lit(int(k)).cast("bigint") for k in numbers]), F.col("leaf"))
+    every = lambda numbers: F.explode(F.sequence(F.lit(0).cast("bigint"), of_leaf(numbers) - 1))
+    asked = asked.withColumn("row", F.pmod(F.xxhash64("__q", *xyz), of_leaf(rows))).withColumn("column", every(columns))
+    there = there.withColumn("column", F.pmod(F.xxhash64("__t", *xyz), of_leaf(columns))).withColumn("row", every(rows))
     kinds = dict(asked.dtypes) | dict(there.dtypes)
 
     def join(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
@@ -136,7 +142,7 @@ def within(questions: DataFrame, targets: DataFrame, radius_km: float, question_
         near = d <= radius_km + 1e-9
         return pd.DataFrame({"q": q["__q"].to_numpy()[a[near]], "t": t["__t"].to_numpy()[b[near]], "distance_km": d[near]})
 
-    out = asked.groupBy("leaf", "part").cogroup(there.groupBy("leaf", "part")).applyInPandas(join, f"q {kinds['__q']}, t {kinds['__t']}, distance_km double")
+    out = asked.groupBy("leaf", "row", "column").cogroup(there.groupBy("leaf", "row", "column")).applyInPandas(join, f"q {kinds['__q']}, t {kinds['__t']}, distance_km double")
     return out.select(F.col("q.v").alias(question_id), F.col("t.v").alias(target_id + "_near" if target_id == question_id else target_id), "distance_km")
 
 
@@ -148,54 +154,81 @@ def cell_edges(cells: DataFrame, half: float = 0.05, keys: tuple[str, ...] = ("l
     return cells.select(F.struct(*keys).alias("region"), F.inline(F.array(edge(a, c, b, c), edge(b, c, b, d), edge(b, d, a, d), edge(a, d, a, c))))
 
 
-def sweep(x: np.ndarray, y: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, region: np.ndarray, chunk: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(point numbers, region numbers): sweep a vertical line over the edges' ends; in each strip a point is inside a region
-    if an odd number of its active edges lies at or below it.  Edges run left to right, x1 <= x < x2."""
-    order = np.argsort(x, kind="stable")
-    stops = np.unique(np.concatenate([x1, x2]))
-    cuts = np.searchsorted(x[order], stops, side="left")
+def sweep(x: np.ndarray, y: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, region: np.ndarray, closed: bool = False, chunk: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(point numbers, region numbers): a vertical line sweeps from left to right with a set of active edges; a point is
+    inside a region if an odd number of the region's active edges lies at or below it.  Edges run left to right, x1 <= x2,
+    and are active from x1 up to but without x2; ``closed`` adds the points on an edge.
+
+    Between two ends of edges the set is the same.  Only strips with points are looked at; from one to the next the edges
+    that end are dropped and those that begin are added.
+    """
     points, regions = [np.zeros(0, int)], [np.zeros(0, int)]
-    for i in range(len(stops) - 1):
-        active = np.flatnonzero((x1 <= stops[i]) & (x2 > stops[i]))
-        here = order[cuts[i] : cuts[i + 1]]
-        if not len(active) or not len(here):
+    line = np.flatnonzero(x1 < x2)
+    line = line[np.argsort(x1[line], kind="stable")]
+    stops = np.unique(np.concatenate([x1[line], x2[line]]))
+    order = np.argsort(x, kind="stable")
+    strip = np.searchsorted(stops, x[order], side="right")
+    ends = np.flatnonzero(np.diff(strip, append=-1) != 0) + 1
+    active, added = np.zeros(0, int), 0
+    for i, j in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()) if len(order) else []:
+        if not 0 < strip[i] < len(stops):
+            continue
+        at = stops[strip[i] - 1]
+        upto = int(np.searchsorted(x1[line], at, side="right"))
+        new = line[added:upto]
+        active, added = np.concatenate([active[x2[active] > at], new[x2[new] > at]]), upto
+        if not len(active):
             continue
         active = active[np.argsort(region[active], kind="stable")]
         names, first = np.unique(region[active], return_index=True)
         slope = (y2[active] - y1[active]) / (x2[active] - x1[active])
-        for k in range(0, len(here), step := max(1, chunk // len(active))):
-            p = here[k : k + step]
+        for k in range(i, j, step := max(1, chunk // len(active))):
+            p = order[k : min(j, k + step)]
             below = y1[active] + slope * (x[p][:, None] - x1[active]) <= y[p][:, None]
             a, b = np.nonzero(np.add.reduceat(below, first, axis=1) % 2)
             points.append(p[a])
             regions.append(names[b])
-    return np.concatenate(points), np.concatenate(regions)
-
-
-def containing(points: DataFrame, edges: DataFrame, point_id: str, lat: str = "lat", lon: str = "lon", slab_deg: float = 0.5, task_rows: int = 200_000) -> DataFrame:
-    """(``point_id``, region): the regions that hold each point, by even-odd rule; left and lower borders belong to a region.
-
-    The plane is cut into vertical slabs; an edge is copied to every slab it crosses, a point goes to one, and slabs with
-    many points are salted.  Each part sweeps its edges.  Points without position and edges with a NULL or NaN end give
-    nothing, vertical edges never count, repeated points give repeated rows, empty sides give no rows.  The slabs'
-    counts are at most 360 / ``slab_deg`` rows for the driver.
+    if not closed or not len(x1) or not len(x):
+        return np.concatenate(points), np.concatenate(regions)
+    # points on edges, ends and vertical edges included: again from left to right, by edges in groups of nearby points
+    by_x = x[order]
+    lo, hi = np.searchsorted(by_x, x1, "left"), np.searchsorted(by_x, x2, "right")
+    for e in np.flatnonzero(hi > lo).tolist():
+        p = order[lo[e] : hi[e]]
+        across = (x2[e] - x1[e]) * (y[p] - y1[e]) - (y2[e] - y1[e]) * (x[p] - x1[e])
+        on = p[(np.abs(across) <= 1e-12) & (y[p] >= min(y1[e], y2[e])) & (y[p] <= max(y1[e], y2[e]))]
+        points.append(on)
+        regions.append(np.full(len(on), region[e]))
+    both = np.unique(np.column_stack([np.concatenate(points), np.concatenate(regions)]), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def containing(points: DataFrame, edges: DataFrame, point_id: str, lat: str = "lat", lon: str = "lon", tile_deg: float = 0.5, task_rows: int = 200_000, closed: bool = False) -> DataFrame:
+    """(``point_id``, region): the regions that hold each point, by even-odd rule, so that holes count as outside.
+
+    Left and lower borders belong to a region; with ``closed`` all borders and corners do.  The plane is cut into tiles;
+    a point goes to one, an edge to every tile that it crosses from west to east, between its region's south and north
+    ends.  Tiles with many points are salted.  Each part sweeps its edges.  Points without position and edges with a NULL
+    or NaN end give nothing, repeated points give repeated rows, empty sides give no rows.  The counts of the tiles that
+    hold points, at most (1080 / ``tile_deg``) (180 / ``tile_deg``) rows, are sent to all tasks.
     """
-    p = points.select(F.struct(F.col(point_id).alias("v")).alias("__p"), F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y")).filter("abs(x) <= 540 AND abs(y) <= 90").withColumn("slab", F.floor(F.col("x") / slab_deg).cast("int"))
+    tile = lambda c: F.floor(F.col(c) / tile_deg).cast("int")
+    p = points.select(F.struct(F.col(point_id).alias("v")).alias("__p"), F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y")).filter("abs(x) <= 540 AND abs(y) <= 90").withColumns({"slab": tile("x"), "band": tile("y")})
     ends = {"x1": F.least("x1", "x2"), "y1": F.when(F.col("x1") <= F.col("x2"), F.col("y1")).otherwise(F.col("y2")), "x2": F.greatest("x1", "x2"), "y2": F.when(F.col("x1") <= F.col("x2"), F.col("y2")).otherwise(F.col("y1"))}
-    e = edges.filter("abs(x1) <= 540 AND abs(x2) <= 540 AND abs(y1) <= 90 AND abs(y2) <= 90 AND x1 <> x2").select("region", *[c.alias(k) for k, c in ends.items()])
-    e = e.withColumn("slab", F.explode(F.sequence(F.floor(F.col("x1") / slab_deg).cast("int"), F.floor(F.col("x2") / slab_deg).cast("int"))))
-    parts = {r["slab"]: math.ceil(r["count"] / task_rows) for r in p.groupBy("slab").count().collect()}
-    per_slab = F.create_map(*[x for k, v in (parts or {0: 1}).items() for x in (F.lit(k), F.lit(v).cast("bigint"))])
-    p = p.withColumn("part", F.pmod(F.xxhash64("__p", "x", "y"), F.try_element_at(per_slab, F.col("slab"))))
-    e = e.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.try_element_at(per_slab, F.col("slab")) - 1)))
+    e = edges.filter("abs(x1) <= 540 AND abs(x2) <= 540 AND abs(y1) <= 90 AND abs(y2) <= 90").select(F.to_json("region").alias("region"), *[c.alias(k) for k, c in ends.items()])
+    extent = e.groupBy("region").agg(F.min(F.least("y1", "y2")).alias("south"), F.max(F.greatest("y1", "y2")).alias("north"))
+    e = e.join(extent, "region").withColumn("slab", F.explode(F.sequence(tile("x1"), tile("x2")))).withColumn("band", F.explode(F.sequence(tile("south"), tile("north")))).drop("south", "north")
+    tiles = F.broadcast(cut(p.groupBy("slab", "band").agg(F.expr(f"cast(ceil(count(*) / {task_rows}) AS bigint)").alias("parts"))))
+    p = p.join(tiles, ["slab", "band"]).withColumn("part", F.pmod(F.xxhash64("__p", "x", "y"), F.col("parts"))).drop("parts")
+    e = e.join(tiles, ["slab", "band"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
     region = edges.schema["region"].dataType.simpleString()
     kind = dict(p.dtypes)["__p"]
-    e = e.withColumn("region", F.to_json("region"))
 
     def join(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         names, number = np.unique(t["region"].to_numpy(dtype=object), return_inverse=True)
-        a, b = sweep(q["x"].to_numpy(), q["y"].to_numpy(), *(t[c].to_numpy() for c in ("x1", "y1", "x2", "y2")), number) if len(q) and len(t) else (np.zeros(0, int), np.zeros(0, int))
+        a, b = sweep(q["x"].to_numpy(), q["y"].to_numpy(), *(t[c].to_numpy() for c in ("x1", "y1", "x2", "y2")), number, closed) if len(q) and len(t) else (np.zeros(0, int), np.zeros(0, int))
         return pd.DataFrame({"p": q["__p"].to_numpy()[a], "region": names[b]})
 
-    out = p.groupBy("slab", "part").cogroup(e.groupBy("slab", "part")).applyInPandas(join, f"p {kind}, region string")
+    by = ("slab", "band", "part")
+    out = p.groupBy(*by).cogroup(e.groupBy(*by)).applyInPandas(join, f"p {kind}, region string")
     return out.select(F.col("p.v").alias(point_id), F.from_json("region", region).alias("region"))

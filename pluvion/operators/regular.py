@@ -34,16 +34,22 @@ def day_grid(slots: DataFrame, slot_min: int = 30) -> DataFrame:
     return cell.select("station_id", "day", "slot_start_min", F.col("__x.value").alias("value"), F.coalesce("__x.readings", F.lit(0).cast("bigint")).alias("readings"))
 
 
-def ssa_fill(x: np.ndarray, window: int = 48, rank: int = 6, rounds: int = 60, tolerance: float = 1e-3) -> np.ndarray:
+def ssa_fill(x: np.ndarray, window: int = 48, rank: int = 6, rounds: int = 1000, tolerance: float = 1e-3) -> np.ndarray:
+    """The filled series of ``ssa_settle``."""
+    return ssa_settle(x, window, rank, rounds, tolerance)[0]
+
+
+def ssa_settle(x: np.ndarray, window: int = 48, rank: int = 6, rounds: int = 1000, tolerance: float = 1e-3) -> tuple[np.ndarray, bool]:
     """Fill the NaNs of one bounded series: embed in a Hankel matrix, truncate its singular vectors, average the
-    diagonals, put the result in the missing places, repeat until they settle.  A series without gaps comes back as it is."""
+    diagonals, put the result in the missing places, repeat until no place moves by more than ``tolerance`` of the series'
+    deviation.  The second value tells whether they settled within ``rounds``.  A series without gaps comes back as it is."""
     gaps = np.isnan(x)
     if not gaps.any():
-        return x
+        return x, True
     n, filled = len(x), np.where(gaps, np.nanmean(x), x)
     window = min(window, n // 2)
     if window < 2 or np.ptp(filled) == 0:
-        return filled
+        return filled, True
     at = np.arange(window)[:, None] + np.arange(n - window + 1)[None, :]
     weight = np.bincount(at.ravel(), minlength=n)
     scale = float(np.nanstd(x)) or 1.0
@@ -55,12 +61,14 @@ def ssa_fill(x: np.ndarray, window: int = 48, rank: int = 6, rounds: int = 60, t
         moved = float(np.abs(smooth[gaps] - filled[gaps]).max())
         filled[gaps] = smooth[gaps]
         if moved <= tolerance * scale:
-            break
-    return filled
+            return filled, True
+    return filled, False
 
 
 def regular_series(slots: DataFrame, slot_min: int = 30, block_days: int = 14, rank: int = 6, floor: float | None = 0.0) -> DataFrame:
-    """(station_id, slot_start_min, value, readings, filled): a regular series on the station's days, gaps filled and marked.
+    """(station_id, slot_start_min, value, readings, filled, settled): a regular series on the station's days, gaps filled and marked.
+
+    ``settled`` is false for the filled slots of a block whose values still moved after the last round.
 
     Blocks of ``block_days`` days of one station are imputed apart from each other; a block holds at most
     ``block_days * 1440 / slot_min`` slots however many readings fall into them, so no task grows with a station.
@@ -74,11 +82,12 @@ def regular_series(slots: DataFrame, slot_min: int = 30, block_days: int = 14, r
         series = np.full(width, np.nan)
         series[at] = block["value"].to_numpy(dtype=float)
         lo, hi = at.min(), at.max() + 1
-        done = ssa_fill(series[lo:hi].copy(), window=DAY_MIN // slot_min, rank=rank)[at - lo]
+        done, settled = ssa_settle(series[lo:hi].copy(), window=DAY_MIN // slot_min, rank=rank)
+        done = done[at - lo]
         gap = (block["readings"] == 0).to_numpy()
         if floor is not None:
             done = np.where(gap, np.maximum(done, floor), done)
-        return pd.DataFrame({"station_id": block["station_id"], "slot_start_min": block["slot_start_min"], "value": done, "readings": block["readings"], "filled": gap})
+        return pd.DataFrame({"station_id": block["station_id"], "slot_start_min": block["slot_start_min"], "value": done, "readings": block["readings"], "filled": gap, "settled": settled | ~gap})
 
     cells = day_grid(slots, slot_min).withColumn("block", F.expr(f"floor(day / {block_days})").cast("bigint"))
-    return cells.groupBy("station_id", "block").applyInPandas(impute, "station_id string, slot_start_min bigint, value double, readings bigint, filled boolean")
+    return cells.groupBy("station_id", "block").applyInPandas(impute, "station_id string, slot_start_min bigint, value double, readings bigint, filled boolean, settled boolean")

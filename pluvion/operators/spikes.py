@@ -1,6 +1,6 @@
 """Problem 5: spikes, stuck values and impossible readings per source.
 
-Readings become seasonal residuals (hour of the day in their week); a reading's excursion is how far it, with at most
+Readings become seasonal residuals (hour of the day in their four weeks); a reading's excursion is how far it, with at most
 two companions, leaves the readings on both sides in the same direction.  Peaks over threshold: per source and quantity
 the excesses of the excursions over a high threshold are fitted by a generalised Pareto tail, and the excursion that an
 ordinary reading passes with a fixed risk is the cut-off.
@@ -42,8 +42,8 @@ FIELDS = {
 RISK, SHAPE, TAIL, SHRINK = 1e-6, 0.05, 0.5, 200
 RUN = 3
 STUCK = 8
-WEEK_MS = 7 * 86_400_000
-HOUR_LEAST = 5  #: readings an hour of the day needs in a week for the week to have a daily course
+PERIOD_MS = 28 * 86_400_000
+HOUR_LEAST = 5  #: readings an hour of the day needs in a period for the period to have a daily course
 
 
 def _bad(q: Quantity, v: np.ndarray) -> np.ndarray:
@@ -57,7 +57,7 @@ def _course(q: Quantity, t: np.ndarray, order: np.ndarray, v: np.ndarray) -> np.
 
 
 def _daily(q: Quantity, t: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The week's course by hour of the day, as deviations from its median; zeros where an hour has too few readings."""
+    """The period's course by hour of the day, as deviations from its median; zeros where an hour has too few readings."""
     out, hour = np.zeros(24), (t // 3_600_000 % 24).astype(int)
     n = np.bincount(hour, minlength=24)
     if q.tip is None and len(v) and n[n > 0].min() >= HOUR_LEAST:
@@ -97,11 +97,11 @@ def _sorted(block: pd.DataFrame, field: str) -> tuple[np.ndarray, np.ndarray, np
     return block["t"].to_numpy()[ok], block["ingest_order"].to_numpy(dtype=float, na_value=np.inf)[ok], v[ok]
 
 
-def week_summaries(base: DataFrame, fields: dict[str, Quantity]) -> DataFrame:
-    """(station_id, week, field, n, level, bins, counts, first_t, first_v, last_t, last_v) of each source, week and quantity.
+def period_summaries(base: DataFrame, fields: dict[str, Quantity]) -> DataFrame:
+    """(station_id, period, field, n, level, bins, counts, first_t, first_v, last_t, last_v) of each source, period and quantity.
 
-    Level is the median, bins and counts the histogram of the week's positive excursions in steps of the resolution;
-    first and last hold the readings that the weeks beside it need: STUCK + RUN at each end, and RUN plausible ones.
+    Level is the median, bins and counts the histogram of the period's positive excursions in steps of the resolution;
+    first and last hold the readings that the periods beside it need: STUCK + RUN at each end, and RUN plausible ones.
     """
     names, keep = list(fields), STUCK + RUN
 
@@ -119,10 +119,10 @@ def week_summaries(base: DataFrame, fields: dict[str, Quantity]) -> DataFrame:
             bins, counts = np.unique(np.rint(e[e > 0] / q.step).astype(np.int64), return_counts=True)
             i, j = np.unique(np.concatenate([np.arange(min(keep, len(t))), good[:RUN]])), np.unique(np.concatenate([np.arange(max(0, len(t) - keep), len(t)), good[-RUN:]]))
             rows.append((*key, f, len(g), float(np.median(w)) if len(w) else None, bins, counts, t[i], v[i], t[j], v[j]))
-        return pd.DataFrame(rows, columns=["station_id", "week", "field", "n", "level", "bins", "counts", "first_t", "first_v", "last_t", "last_v"])
+        return pd.DataFrame(rows, columns=["station_id", "period", "field", "n", "level", "bins", "counts", "first_t", "first_v", "last_t", "last_v"])
 
-    out = "station_id string, week bigint, field string, n bigint, level double, bins array<bigint>, counts array<bigint>, first_t array<bigint>, first_v array<double>, last_t array<bigint>, last_v array<double>"
-    return base.select("station_id", "week", "t", "ingest_order", *names).groupBy("station_id", "week").applyInPandas(summary, out)
+    out = "station_id string, period bigint, field string, n bigint, level double, bins array<bigint>, counts array<bigint>, first_t array<bigint>, first_v array<double>, last_t array<bigint>, last_v array<double>"
+    return base.select("station_id", "period", "t", "ingest_order", *names).groupBy("station_id", "period").applyInPandas(summary, out)
 
 
 def fit_tail(bins: np.ndarray, counts: np.ndarray, n: float, step: float, network: float | None = None) -> tuple[float, float, float]:
@@ -153,16 +153,16 @@ def fit_tail(bins: np.ndarray, counts: np.ndarray, n: float, step: float, networ
     return max(u, 0.0), scale, m / n
 
 
-def pot_cutoffs(weeks: DataFrame, fields: dict[str, Quantity]) -> DataFrame:
-    """(station_id, field, usual, threshold, scale, cutoff): each source's fitted tail, and its level (median of its weeks').
+def pot_cutoffs(periods: DataFrame, fields: dict[str, Quantity]) -> DataFrame:
+    """(station_id, field, usual, threshold, scale, cutoff): each source's fitted tail, and its level (median of its periods').
 
-    The histograms of weeks add up; the network's are their sums over all sources, one row a quantity.
+    The histograms of periods add up; the network's are their sums over all sources, one row a quantity.
     """
     keys = ["station_id", "field"]
-    one = weeks.select(*keys, F.inline(F.arrays_zip(F.col("bins").alias("bin"), F.col("counts").alias("c"))))
+    one = periods.select(*keys, F.inline(F.arrays_zip(F.col("bins").alias("bin"), F.col("counts").alias("c"))))
     source = one.groupBy(*keys, "bin").agg(F.sum("c").alias("c"))
     packed = lambda rows, by, name: rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bin", "c"))).alias(name))
-    total = weeks.groupBy(*keys).agg(F.sum("n").alias("n"), F.percentile("level", 0.5).alias("usual"))
+    total = periods.groupBy(*keys).agg(F.sum("n").alias("n"), F.percentile("level", 0.5).alias("usual"))
     network = packed(source.groupBy("field", "bin").agg(F.sum("c").alias("c")), ["field"], "__net").join(total.groupBy("field").agg(F.sum("n").alias("__all")), "field")
     both = total.join(packed(source, keys, "__own"), keys, "left").join(network, "field", "left")
 
@@ -188,22 +188,22 @@ def implausible(df: DataFrame, fields: dict[str, Quantity] = FIELDS, taken_ms: s
 
     A station's course holds one reading an instant.  Every row is judged by its own value against the course around its
     instant.  Rows without a readable instant or station, and NULL or NaN values, are not judged.  A reading with no
-    plausible neighbour on one side is no spike.  Infinite values are impossible.  Work is done by source and week, so
-    that a station with a third of all rows is spread; what a week needs of the weeks around it (a few readings at each
-    end) and the source's cut-offs come as one row a week and quantity.  An empty table gives no rows.
+    plausible neighbour on one side is no spike.  Infinite values are impossible.  Work is done by source and period of four weeks, so
+    that a station with a third of all rows is spread; what a period needs of those around it (a few readings at each
+    end) and the source's cut-offs come as one row a period and quantity.  An empty table gives no rows.
     """
     names = list(fields)
     known = F.coalesce(*[F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in names]).isNotNull()
-    base = df.filter(f"{taken_ms} IS NOT NULL AND station_id IS NOT NULL").filter(known).select("station_id", F.expr(f"floor({taken_ms} / {WEEK_MS})").cast("bigint").alias("week"), F.col(taken_ms).cast("bigint").alias("t"), F.col("ingest_order").cast("bigint").alias("ingest_order"), *[F.col(f).cast("double").alias(f) for f in names])
-    base = cut(base.repartition("station_id", "week"))  # read twice below, both times as it is partitioned here
-    weeks = cut(week_summaries(base, fields))
-    line = Window.partitionBy("station_id", "field").orderBy("week")
+    base = df.filter(f"{taken_ms} IS NOT NULL AND station_id IS NOT NULL").filter(known).select("station_id", F.expr(f"floor({taken_ms} / {PERIOD_MS})").cast("bigint").alias("period"), F.col(taken_ms).cast("bigint").alias("t"), F.col("ingest_order").cast("bigint").alias("ingest_order"), *[F.col(f).cast("double").alias(f) for f in names])
+    base = cut(base.repartition("station_id", "period"))  # read twice below, both times as it is partitioned here
+    periods = cut(period_summaries(base, fields))
+    line = Window.partitionBy("station_id", "field").orderBy("period")
     most, far = STUCK + 2 * RUN, STUCK + RUN
     side = lambda end, rows: F.flatten(F.collect_list(F.arrays_zip(F.col(f"{end}_t").alias("t"), F.col(f"{end}_v").alias("v"))).over(rows))
-    around = weeks.select("station_id", "week", "field", side("last", line.rowsBetween(-far, -1)).alias("p"), side("first", line.rowsBetween(1, far)).alias("f"))
+    around = periods.select("station_id", "period", "field", side("last", line.rowsBetween(-far, -1)).alias("p"), side("first", line.rowsBetween(1, far)).alias("f"))
     halo = F.concat(F.slice("p", F.greatest(F.lit(1), F.size("p") - most + 1), F.lit(most)), F.slice("f", 1, most))
-    judged = around.select("station_id", "week", "field", F.transform(halo, lambda x: x["t"]).alias("halo_t"), F.transform(halo, lambda x: x["v"]).alias("halo_v"))
-    judged = judged.join(pot_cutoffs(weeks, fields), ["station_id", "field"])
+    judged = around.select("station_id", "period", "field", F.transform(halo, lambda x: x["t"]).alias("halo_t"), F.transform(halo, lambda x: x["v"]).alias("halo_v"))
+    judged = judged.join(pot_cutoffs(periods, fields), ["station_id", "field"])
 
     def judge(key: tuple, block: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -232,4 +232,4 @@ def implausible(df: DataFrame, fields: dict[str, Quantity] = FIELDS, taken_ms: s
         found = pd.concat(out) if out else pd.DataFrame(columns=["ingest_order", "field", "reason", "v", "excursion", "cutoff"])
         return found.assign(ingest_order=found["ingest_order"].where(np.isfinite(found["ingest_order"].astype(float))).astype("Int64"))
 
-    return base.groupBy("station_id", "week").cogroup(judged.groupBy("station_id", "week")).applyInPandas(judge, "ingest_order bigint, field string, reason string, v double, excursion double, cutoff double")
+    return base.groupBy("station_id", "period").cogroup(judged.groupBy("station_id", "period")).applyInPandas(judge, "ingest_order bigint, field string, reason string, v double, excursion double, cutoff double")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pluvion.operators import late, stamps
-from pluvion.session import shared_folder, table, tuned
+from pluvion.session import scratch_folder, table
 from pluvion.streaming import late_stream
 
 
@@ -26,7 +24,7 @@ def latest_rows(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
     is repeated after a failure replaces itself.
     """
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "stream")
     write = lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start()
     run.awaitTermination()
@@ -36,20 +34,21 @@ def latest_rows(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
 
 
 def stream_hourly_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly counts and sums per event type from a stream over the events (complete mode)."""
-    rows = stream_of(tuned(spark), sf, "events").select(F.col("event_type").alias("station_id"), F.col("ts").cast("timestamp").alias("event_time"), "value")
+    """Hourly counts and sums per event type from a stream over the events (update mode: hours past the watermark leave the state)."""
+    rows = stream_of(spark, sf, "events").select(F.col("event_type").alias("station_id"), F.col("ts").cast("timestamp").alias("event_time"), "value")
     totals = late_stream.windowed_totals(rows).select("station_id", F.unix_seconds("w.start").alias("start_s"), "readings", "total")
-    last = latest_rows(totals, "complete", ["station_id", "start_s"])
+    last = latest_rows(totals, "update", ["station_id", "start_s"])
     return last.select(F.col("station_id").alias("event_type"), "start_s", "readings", F.round("total", 4).alias("total"))
 
 
 def stream_corrected_hours(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly rainfall per station from a stream of gauge records, corrected by records up to 24 hours late (update mode).
 
-    The state is the counters' entries, one per reading, merged by Spark's own aggregation without Python work.
+    The state is the counters' entries, one per reading, merged by Spark's own aggregation without Python work; Spark
+    drops those whose cut-off the watermark has passed.
     """
-    raw = stream_of(tuned(spark), sf, "raw_window").select("ingest_order", "station_id", "timestamp_utc", "inserted_ts", "precip_raw_mm")
-    counters = late.late_counters(stamps.normalise_stamps(raw, table(spark, sf, "station_clocks")), cutoffs_min=(1440,))
+    raw = stream_of(spark, sf, "raw_window").select("ingest_order", "station_id", "timestamp_utc", "inserted_ts", "precip_raw_mm")
+    counters = late_stream.corrected_counters(stamps.normalise_stamps(raw, table(spark, sf, "station_clocks")))
     totals = late.period_totals(latest_rows(counters, "update", list(late.KEYS)))
     return totals.select("station_id", "period_start_min", "readings", F.round("total", 4).alias("rain_mm"))
 

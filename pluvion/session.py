@@ -5,23 +5,42 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests) a
-    temporary one is chosen."""
+    """The checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset and everything runs on this machine (tests) a temporary one is chosen; on a cluster a folder
+    of the driver's machine would lose data, so that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the application ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back, so that it is computed once and survives lost executors."""
+    """Write ``df`` to the checkpoint folder and read it back, so that it is computed once and survives lost executors.
+
+    Spark removes the files when the result is no longer used, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -34,14 +53,17 @@ def private_prefix(df: DataFrame) -> str:
     return prefix
 
 
-def tuned(spark: SparkSession) -> SparkSession:
-    """Fused stages whose code passes the JVM's 8000-byte limit for compilation run operator by operator instead.
+def configured(spark: SparkSession) -> SparkSession:
+    """What an application sets once, before it runs queries; operators and ``table`` change nothing in a session.
 
-    The JVM never compiles larger methods; the stamp expressions are three times as fast this way.  Stamps without zone
-    count as UTC throughout, so the session's zone is set to it.
+    Stamps without zone count as UTC throughout, so the session's zone is set to it.  Fused stages whose code passes the
+    JVM's 8000-byte limit for compilation run operator by operator instead: the JVM never compiles larger methods, and the
+    stamp expressions are three times as fast this way.  Batches sent to Python hold at most 2000 rows, since texts are
+    long.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     ship(spark)
     return spark
 
@@ -59,4 +81,4 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
-    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

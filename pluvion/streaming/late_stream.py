@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pluvion.operators import late
 
@@ -22,35 +18,12 @@ def windowed_totals(stream: DataFrame, window: str = "1 hour", delay: str = "1 d
     return stream.withWatermark("event_time", delay).groupBy("station_id", F.window("event_time", window).alias("w")).agg(F.count("*").alias("readings"), F.sum("value").alias("total"))
 
 
-def corrected_totals(stream: DataFrame, period_min: int = 60, cutoff_min: int = 1440) -> DataFrame:
-    """Per station and period the running total, corrected by every record inserted up to the cut-off (update mode).
+def corrected_counters(stream: DataFrame, cutoff_min: int = 1440, period_min: int = 60, taken_ms: str = "t_ms") -> DataFrame:
+    """The entries of ``late.late_counters`` of a stream, for update mode: (late.KEYS, entry).
 
-    The state of a (station, period) is the counter's entries: per reading its highest version.  An entry merges by
-    maximum, so replayed batches change nothing.  The state holds one entry per reading of one period and is dropped
-    when the watermark passes the cut-off.  ``stream`` has station_id, event_time (timestamp), inserted_ms, ingest_order,
-    value.
+    An entry merges by maximum, so that replayed batches change nothing.  The reading's instant is in the key as an event
+    time with a watermark of cut-off and period: once no record can correct it any more, Spark drops it from the state.
     """
-    taken = F.unix_millis("event_time")
-    rows = stream.withWatermark("event_time", f"{cutoff_min + period_min} minutes").select(
-        "station_id", (F.floor(taken / (period_min * late.MINUTE_MS)) * period_min).cast("bigint").alias("period_start_min"), "event_time", taken.alias("source_ms"), "inserted_ms", "ingest_order", F.col("value").cast("double").alias("value")
-    )
-    rows = rows.filter((F.col("inserted_ms") <= (F.col("period_start_min") + period_min + cutoff_min) * late.MINUTE_MS) & F.col("value").isNotNull())
-    out = "station_id string, period_start_min bigint, readings bigint, total double"
-
-    def merge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        source, inserted, order, value = (list(x) for x in state.get) if state.exists else ([], [], [], [])
-        entries = dict(zip(source, zip(inserted, order, value)))
-        for b in batches:
-            for s, *version in b[["source_ms", "inserted_ms", "ingest_order", "value"]].itertuples(index=False):
-                entries[s] = max(entries.get(s, tuple(version)), tuple(version))
-        state.update((list(entries), [int(v[0]) for v in entries.values()], [int(v[1]) for v in entries.values()], [float(v[2]) for v in entries.values()]))
-        end = (int(key[1]) + period_min + cutoff_min) * late.MINUTE_MS
-        if end > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(end)
-        yield pd.DataFrame({"station_id": [key[0]], "period_start_min": [key[1]], "readings": [len(entries)], "total": [float(sum(v[2] for v in entries.values()))]})
-
-    kind = "source array<bigint>, inserted array<bigint>, ord array<bigint>, val array<double>"
-    return rows.groupBy("station_id", "period_start_min").applyInPandasWithState(merge, out, kind, "update", GroupStateTimeout.EventTimeTimeout)
+    timed = stream.withColumn("__at", F.timestamp_millis(F.col(taken_ms))).withWatermark("__at", f"{cutoff_min + period_min} minutes")
+    entries = late.entries(timed, (cutoff_min,), period_min=period_min, taken_ms=taken_ms, also=("__at",))
+    return entries.groupBy(*late.KEYS, "__at").agg(F.max(F.struct("n", "o", "v")).alias("entry")).drop("__at")

@@ -15,9 +15,9 @@ def spark():
         .config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").config("spark.local.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    from pluvion.session import tuned
+    from pluvion.session import configured
 
-    tuned(s)
+    configured(s)
     yield s
     s.stop()
 

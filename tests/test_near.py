@@ -81,3 +81,36 @@ def test_distance_to_line(spark):
     got = [r[0] for r in s.select(spatial.distance_to_line_km("lat", "lon", segments)).collect()]
     assert got[2] is None and [round(x, 6) for x in got[:2] + got[3:]] == [round(k * math.cos(math.radians(39.5)), 6), round(k * math.cos(math.radians(39.5)) / 2, 6), round(k, 6)]
     assert s.select(spatial.distance_to_line_km("lat", "lon", [])).first()[0] is None
+
+
+def test_closed_regions_of_any_shape_against_exact_arithmetic(spark):
+    from fractions import Fraction
+
+    shapes = {"bow": [(0, 0), (3, 2), (3, 0), (0, 2)], "star": [(5, 0), (6, 3), (9, 3), (6.5, 4.5), (7.5, 8), (5, 5.5), (2.5, 8), (3.5, 4.5), (1, 3), (4, 3)], "far": [(-2, 60), (-1, 60), (-1.5, 61)]}
+    rows = [(n, *map(float, (*xy[i], *xy[(i + 1) % len(xy)]))) for n, xy in shapes.items() for i in range(len(xy))]
+    edges = spark.createDataFrame(rows, "n string, x1 double, y1 double, x2 double, y2 double").select(F.struct("n").alias("region"), "x1", "y1", "x2", "y2")
+    pts = [(x / 4, y / 4) for x in range(-4, 40) for y in range(-4, 40)] + [(-1.5, 60.5), (-1.5, 61.0), (-1.75, 60.5)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id int, lon double, lat double")
+
+    def holds(name, x, y, closed):
+        x, y, inside = Fraction(x), Fraction(y), False
+        for n, *e in rows:
+            if n != name:
+                continue
+            a, b, c, d = map(Fraction, e)
+            if closed and (c - a) * (y - b) == (d - b) * (x - a) and min(a, c) <= x <= max(a, c) and min(b, d) <= y <= max(b, d):
+                return True
+            if min(a, c) <= x < max(a, c) and b + (x - a) * (d - b) / (c - a) <= y:
+                inside = not inside
+        return inside
+
+    for closed in (False, True):
+        got = {(r["id"], r["region"]["n"]) for r in near.containing(df, edges, "id", task_rows=7, closed=closed).collect()}
+        assert got == {(i, n) for i, p in enumerate(pts) for n in shapes if holds(n, *p, closed)}
+
+
+def test_crowded_places_give_bounded_parts(spark):
+    q = spark.createDataFrame([(i, 39.5, 0.0) for i in range(60)], "q int, lat double, lon double")
+    t = spark.createDataFrame([(i, 39.5, 0.0) for i in range(90)] + [(90, 39.6, 0.0), (91, None, 0.0)], "t int, lat double, lon double")
+    got = near.within(q, t, 1.0, "q", "t", leaf_targets=8, task_targets=20, task_pairs=300).collect()
+    assert sorted((r["q"], r["t"]) for r in got) == [(i, j) for i in range(60) for j in range(90)]

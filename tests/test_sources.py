@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pluvion.functions import scalars
 from pluvion.operators import late
+from pluvion.plans import streams
 from pluvion.sources import files
 from pluvion.streaming import late_stream
 
@@ -47,10 +48,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(3):
         df.filter(F.col("ingest_order") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    seen = []
-    q = late_stream.corrected_totals(stream).writeStream.outputMode("update").foreachBatch(lambda b, i: seen.extend((i, *r) for r in b.collect())).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination()
-    last = {(s, p): (n, t) for _, s, p, n, t in sorted(seen)}
-    batch = df.select("station_id", F.unix_millis("event_time").alias("t_ms"), F.col("inserted_ms").alias("n_ms"), "ingest_order", F.col("value").alias("precip_raw_mm"))
-    want = {(r["station_id"], r["period_start_min"]): (r["readings"], r["total"]) for r in late.period_totals(late.late_counters(batch, cutoffs_min=(1440,))).collect()}
-    assert last == want
+    named = lambda rows: rows.select("station_id", F.unix_millis("event_time").alias("t_ms"), F.col("inserted_ms").alias("n_ms"), "ingest_order", F.col("value").alias("precip_raw_mm"))
+    totals = lambda state: {(r["station_id"], r["period_start_min"]): (r["readings"], r["total"]) for r in late.period_totals(state).collect()}
+    got = totals(streams.latest_rows(late_stream.corrected_counters(named(stream)), "update", list(late.KEYS)))
+    assert got == totals(late.late_counters(named(df), cutoffs_min=(1440,))) and got

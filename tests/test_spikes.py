@@ -27,12 +27,12 @@ def test_spikes_and_changes_that_persist(spark):
     v = noisy(1200)
     for i in (50, 300, 301, 302):
         v[i] += 12
-    v[1007] = -3.0  # the last reading of a week (bucket border)
+    v[1007] = -3.0  # the last reading of a period (of 4032 from the first)
     v[1008] = -3.5
     for i in range(600, 720):
         v[i] += 9  # persists
     v[900], v[901] = 99.9, -45.6
-    assert found(spark, v) == {(50, "spike"), (300, "spike"), (301, "spike"), (302, "spike"), (1007, "spike"), (1008, "spike"), (900, "impossible"), (901, "impossible")}
+    assert found(spark, v, start=3024) == {(50, "spike"), (300, "spike"), (301, "spike"), (302, "spike"), (1007, "spike"), (1008, "spike"), (900, "impossible"), (901, "impossible")}
 
 
 def test_showers_build_up(spark):
@@ -52,7 +52,7 @@ def test_showers_build_up(spark):
 def test_stuck_over_borders_and_exempt_values(spark):
     r = random.Random(3)
     v = [r.choice([14.0, 14.1, 14.2, 14.2, 14.2]) for _ in range(2200)]
-    v[1003:1013] = [14.5] * 10  # over the border of a week
+    v[1003:1013] = [14.5] * 10  # over the border of a period
     want = set()
     i = 0
     while i < len(v):
@@ -62,7 +62,7 @@ def test_stuck_over_borders_and_exempt_values(spark):
         if j - i >= 8:
             want |= {(k, "stuck") for k in range(i, j)}
         i = j
-    assert found(spark, v) == want and (1005, "stuck") in want
+    assert found(spark, v, start=3024) == want and (1005, "stuck") in want
     assert found(spark, [0.0] * 50, "wind_gust_raw") == set() == found(spark, [0.4] * 50, "precip_raw_mm")
     assert len(found(spark, [5.0] * 8, "precip_raw_mm")) == 8 and found(spark, [5.0] * 7, "precip_raw_mm") == set()
 
