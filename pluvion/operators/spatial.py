@@ -40,13 +40,11 @@ def nearest_neighbours(stations: DataFrame, k: int = 3, km: float = 20.0) -> Dat
 
 def nearest_axis_cells(stations: DataFrame, cells: DataFrame) -> DataFrame:
     """Nearest cell on each axis by itself (lon_idx, lat_idx); the lower index on ties.  The axes are the grid's distinct
-    coordinates (a few thousand at most), held as constants."""
-    out = stations.filter("lat IS NOT NULL AND lon IS NOT NULL")
-    for axis in ("lon", "lat"):
-        values = sorted((r[0], r[1]) for r in cells.groupBy(f"{axis}_idx").agg(F.min(axis)).collect())
-        entries = F.array(*[F.struct(F.round(F.abs(F.col(axis) - v), 9).alias("d"), F.lit(i).alias("i")) for i, v in values])
-        out = out.withColumn(f"{axis}_idx", F.array_min(entries)["i"])
-    return out
+    coordinates (a few thousand at most), one array each, as scalar subqueries."""
+    axis = lambda c: f"(SELECT collect_set(struct({c} AS v, {c}_idx AS i)) FROM {{c}})"
+    near = lambda c: f"array_min(transform({c}_axis, x -> struct(round(abs({c} - x.v), 9) AS d, x.i AS i))).i AS {c}_idx"
+    with_axes = stations.sparkSession.sql(f"SELECT *, {axis('lon')} AS lon_axis, {axis('lat')} AS lat_axis FROM {{s}} WHERE lat IS NOT NULL AND lon IS NOT NULL", s=stations, c=cells.select("lon", "lat", "lon_idx", "lat_idx"))
+    return with_axes.selectExpr("*", near("lon"), near("lat")).drop("lon_axis", "lat_axis")
 
 
 def nearest_inside_cells(stations: DataFrame, cells: DataFrame, step_deg: float = 0.1) -> DataFrame:

@@ -56,7 +56,7 @@ def event_cells(events: DataFrame, cells: DataFrame, grid: DataFrame) -> DataFra
     )
 
 
-def event_match(events: DataFrame, cells: DataFrame, grid: DataFrame) -> DataFrame:
+def event_match(events: DataFrame, cells: DataFrame, grid: DataFrame, peaks: bool = False) -> DataFrame:
     """Events with grid rain at the point and the largest accumulation of the 3 x 3 cells (max of sums), coverage and steps.
 
     The point total is 0 where steps exist but the cell has no value, NULL where no step overlaps.
@@ -65,13 +65,14 @@ def event_match(events: DataFrame, cells: DataFrame, grid: DataFrame) -> DataFra
     per = event_cells(events, cells, grid)
     point = F.expr("di = 0 AND dj = 0")
     got = per.groupBy(*keys).agg(
-        F.round(F.coalesce(F.max(F.when(point, F.col("mm"))), F.lit(0.0)), 6).alias("grid_mm"), F.round(F.coalesce(F.max("mm"), F.lit(0.0)), 6).alias("grid3x3_mm"), F.max(F.when(point, F.col("peak"))).alias("grid_peak_mmh"),
+        F.round(F.coalesce(F.max(F.when(point, F.col("mm"))), F.lit(0.0)), 6).alias("grid_mm"), F.round(F.coalesce(F.max("mm"), F.lit(0.0)), 6).alias("grid3x3_mm"), F.max(F.when(point, F.col("peak"))).alias("grid_peak_mmh"), F.max("peak").alias("grid3x3_peak_mmh"),
         F.max("steps").alias("grid_steps"), F.max("minutes").alias("grid_minutes"), F.coalesce(F.max(F.when(point, F.col("positive"))), F.lit(0)).alias("positive_steps"), F.coalesce(F.max("positive"), F.lit(0)).alias("positive_steps_3x3"),
     )
     expected = F.expr("CAST(floor((end_min - 1) / 30) - ceil((end_min - window_min - 29) / 30) + 1 AS BIGINT)")
     out = events.select(*keys, "event_accum_mm").join(got, keys, "left").withColumn("expected_steps", expected).withColumn("grid_steps", F.coalesce("grid_steps", F.lit(0)))
     out = out.withColumns({"missing_steps": F.greatest(F.lit(0), F.col("expected_steps") - F.col("grid_steps")), "grid_coverage": F.round(F.coalesce("grid_minutes", F.lit(0)) / F.col("window_min"), 6)})
-    return out.withColumn("complete_window", F.expr("expected_steps > 0 AND missing_steps = 0 AND grid_coverage >= 0.999")).drop("grid_minutes")
+    out = out.withColumn("complete_window", F.expr("expected_steps > 0 AND missing_steps = 0 AND grid_coverage >= 0.999")).drop("grid_minutes")
+    return out if peaks else out.drop("grid3x3_peak_mmh")
 
 
 def skill(matched: DataFrame, scope_sets: str = "((), (window_min))") -> DataFrame:
@@ -104,14 +105,21 @@ def group_medians(rows: DataFrame, keys: list[str], value: str = "accum_mm") ->
 
 
 def event_metrics(rows: DataFrame, keys: list[str], sets: str) -> DataFrame:
-    """The reference's event skill per grouping set of ``keys``, at the point and in 3 x 3 cells; with ``distance_km`` its median."""
-    both = lambda name, f: ", ".join(f"round({f(c)}, 6) AS {name}_{k}" for k, c in (("point", "grid_mm"), ("3x3", "grid3x3_mm")))
+    """Event skill per grouping set of ``keys``, at the point and in 3 x 3 cells; with ``distance_km`` its median.
+
+    Detection, ratios (over all events and over those with a response), bias, errors, shares of events that are
+    underestimated or without response, and the medians of both sides.  An event without grid rain counts as not
+    underestimated and not without response.
+    """
+    both = lambda name, f: ", ".join(f"round({f(c, n)}, 6) AS {name}_{k}" for k, c, n in (("point", "grid_mm", "positive_steps"), ("3x3", "grid3x3_mm", "positive_steps_3x3")))
     share = lambda test: f"avg(CASE WHEN {test} THEN 1.0D ELSE 0.0D END)"
     a = "event_accum_mm"
     return rows.sparkSession.sql(
-        f"""SELECT {', '.join(keys)}, count(*) AS events, count(DISTINCT station_id) AS stations, round({share('positive_steps > 0')}, 6) AS pod_point, round({share('positive_steps_3x3 > 0')}, 6) AS pod_3x3,
-          {both('median_ratio', lambda c: f'percentile({c} / {a}, 0.5D)')}, {both('median_bias_mm', lambda c: f'percentile({c} - {a}, 0.5D)')}, {both('mae_mm', lambda c: f'avg(abs({c} - {a}))')},
-          {both('rmse_mm', lambda c: f'sqrt(avg(({c} - {a}) * ({c} - {a})))')}, {both('underestimate_fraction', lambda c: share(f'{c} < {a}'))}, {both('zero_response_fraction', lambda c: share(f'{c} <= 0'))}
+        f"""SELECT {', '.join(keys)}, count(*) AS events, count(DISTINCT station_id) AS stations, {both('pod', lambda c, n: share(f'{n} > 0'))},
+          {both('median_ratio', lambda c, n: f'percentile({c} / {a}, 0.5D)')}, {both('median_ratio_hits', lambda c, n: f'percentile(CASE WHEN {n} > 0 THEN {c} / {a} END, 0.5D)')}, {both('mean_ratio', lambda c, n: f'avg({c} / {a})')},
+          {both('median_bias_mm', lambda c, n: f'percentile({c} - {a}, 0.5D)')}, {both('mae_mm', lambda c, n: f'avg(abs({c} - {a}))')}, {both('rmse_mm', lambda c, n: f'sqrt(avg(({c} - {a}) * ({c} - {a})))')},
+          {both('underestimate_fraction', lambda c, n: share(f'{c} < {a}'))}, {both('zero_response_fraction', lambda c, n: share(f'{c} <= 0'))},
+          {both('median_grid_mm', lambda c, n: f'percentile({c}, 0.5D)')}, round(percentile({a}, 0.5D), 6) AS median_gauge_mm
           {", round(percentile(distance_km, 0.5D), 6) AS median_distance_km" if "distance_km" in rows.columns else ""} FROM {{r}} GROUP BY GROUPING SETS {sets}""", r=rows)
 
 
@@ -155,17 +163,23 @@ def wet_quantiles(sat: DataFrame, q: float = 0.995) -> DataFrame:
 
 
 def window_confusion(ref: DataFrame, sat: DataFrame, gauge: DataFrame, keys: list[str]) -> DataFrame:
-    """2x2 counts per ``keys`` (of station_id, window_min, day) and threshold mode and stride, at the point and 3 x 3."""
+    """2x2 counts per ``keys`` (of station_id, window_min, day) and threshold mode and stride, at the point and 3 x 3.
+
+    All modes and strides are counted side by side in one aggregation, and become rows afterwards.
+    """
     rows = ref.filter("strict").join(sat.filter("sat_strict"), ["station_id", "ref_end", "window_min"])
     rows = rows.join(gauge.filter("threshold_mm > 0").select("station_id", "window_min", "threshold_mm"), ["station_id", "window_min"]).join(wet_quantiles(sat), ["station_id", "window_min"])
-    rows = rows.withColumn("day", F.expr("ref_end div 1440"))
-    mode = lambda name, p, b: F.struct(F.lit(name).alias("mode"), p.alias("tp_"), b.alias("tb_"))
-    rows = rows.select("*", F.inline(F.array(mode("fixed", F.col("threshold_mm"), F.col("threshold_mm")), mode("relative", F.col("q_point"), F.col("q_best")))))
-    rows = rows.withColumn("stride", F.explode(F.when(F.col("ref_end") % F.col("window_min") == 0, F.array(F.lit("overlap"), F.lit("scale_stride"))).otherwise(F.array(F.lit("overlap")))))
-    hit = "accum_mm >= threshold_mm"
-    cell = lambda test, yes, no: F.sum(F.expr(f"CAST({yes}({hit}) AND {no}coalesce({test}, false) AS BIGINT)"))
-    names = [("tp", "", ""), ("fp", "NOT ", ""), ("fn", "", "NOT "), ("tn", "NOT ", "NOT ")]
-    return rows.groupBy(*keys, "mode", "stride").agg(*[cell(t, y, n).alias(f"{p}_{k}") for p, t in (("point", "point_mm >= tp_"), ("best", "best_mm >= tb_")) for k, y, n in names])
+    modes = {"fixed": ("point_mm >= threshold_mm", "best_mm >= threshold_mm"), "relative": ("point_mm >= q_point", "best_mm >= q_best")}
+    flags = {"a_": "accum_mm >= threshold_mm", "s_": "ref_end % window_min = 0"} | {f"{m}_{k}": f"coalesce({e}, false)" for m, two in modes.items() for k, e in zip(("point", "best"), two)}
+    rows = rows.select(*{*keys, "window_min"} - {"day"}, F.expr("ref_end div 1440").alias("day"), *[F.expr(e).alias(k) for k, e in flags.items()])
+    cells = {"tp": "a_ AND {x}", "fp": "NOT a_ AND {x}", "fn": "a_ AND NOT {x}", "tn": "NOT a_ AND NOT {x}"}
+    strides = {"overlap": "true", "scale_stride": "s_"}
+    count = lambda test, name: F.sum(F.expr(f"CAST({test} AS BIGINT)")).alias(name)
+    sums = [count(f"{on} AND {test.format(x=f'{m}_{k}')}", f"{m}_{stride}_{k}_{c}") for m in modes for stride, on in strides.items() for k in ("point", "best") for c, test in cells.items()]
+    wide = rows.groupBy(*keys).agg(*sums, count("s_", "n_"))
+    item = lambda m, stride: F.struct(F.lit(m).alias("mode"), F.lit(stride).alias("stride"), *[F.col(f"{m}_{stride}_{k}_{c}").alias(f"{k}_{c}") for k in ("point", "best") for c in cells])
+    some = F.col("n_") > 0
+    return wide.select(*keys, F.inline(F.array_compact(F.array(*[F.when(F.lit(stride == "overlap") | some, item(m, stride)) for m in modes for stride in strides]))))
 
 
 def areal_baseline(ref: DataFrame, areas: DataFrame, gauge: DataFrame) -> DataFrame:

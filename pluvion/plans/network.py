@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvion.operators import intervals, late, near, regular, spikes, stamps
+from pluvion.plans import stamp_sql
 from pluvion.session import table
 
 
@@ -56,7 +57,7 @@ def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each record and every inventory station within 2 km of its reported position."""
     raw = table(spark, sf, "raw_window").select(F.struct("ingest_order", "station_id").alias("record"), "lat", "lon")
     pairs = near.within(raw, table(spark, sf, "avamet_station_inventory_cv"), 2.0, "record", "station_id")
-    return pairs.select("record.ingest_order", F.col("record.station_id").alias("own_station_id"), "station_id", "distance_km")
+    return pairs.select("record.ingest_order", F.col("record.station_id").alias("own_station_id"), "station_id", F.round("distance_km", 6).alias("distance_km"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +73,15 @@ def p6_grid_cell(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p2_found, p2_hourly_rain, p3_found, p3_series, p4_found, p5_found, p6_found, p6_pairs, p6_grid_cell)}
 
-ORACLES = {
+_NEAR = """
+WITH p AS (SELECT DISTINCT lat, lon FROM raw_window WHERE lat BETWEEN -90 AND 90 AND lon IS NOT NULL),
+n AS (SELECT * FROM (SELECT p.lat, p.lon, s.station_id,
+   2 * 6371.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(p.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2)))) AS km
+   FROM p JOIN avamet_station_inventory_cv s ON s.lat BETWEEN p.lat - 0.02 AND p.lat + 0.02) WHERE km <= 2.0)
+SELECT r.ingest_order"""
+ORACLES = stamp_sql.ORACLES | {
+    "p6_pairs": _NEAR + ", r.station_id AS own_station_id, n.station_id, round(km, 6) AS distance_km FROM raw_window r JOIN n ON r.lat = n.lat AND r.lon = n.lon",
+    "p6_found": _NEAR + ", n.station_id FROM raw_window r JOIN n ON r.lat = n.lat AND r.lon = n.lon WHERE n.station_id IS DISTINCT FROM r.station_id",
     "p4_found": """
 WITH iv AS (
   SELECT station_id, date_trunc('month', timestamp_utc) AS month,
@@ -89,10 +98,4 @@ UNION ALL SELECT station_id, 'gap', e, f FROM n WHERE f IS NOT NULL""",
 SELECT r.ingest_order, c.lon_idx, c.lat_idx FROM raw_window r JOIN cv_imerg_grid_cells c
   ON r.lon >= round(c.lon - 0.05, 6) AND r.lon < round(c.lon + 0.05, 6)
  AND r.lat >= round(c.lat - 0.05, 6) AND r.lat < round(c.lat + 0.05, 6)""",
-    "p6_found": """
-WITH p AS (SELECT DISTINCT lat, lon FROM raw_window WHERE lat BETWEEN -90 AND 90 AND lon IS NOT NULL),
-n AS (SELECT p.lat, p.lon, s.station_id FROM p JOIN avamet_station_inventory_cv s
-  ON s.lat BETWEEN p.lat - 0.02 AND p.lat + 0.02
- AND 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(p.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2)))) <= 2.0)
-SELECT r.ingest_order, n.station_id FROM raw_window r JOIN n ON r.lat = n.lat AND r.lon = n.lon WHERE n.station_id IS DISTINCT FROM r.station_id""",
 }

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvion.functions import scalars
 from pluvion.operators import events as ev
 from pluvion.operators import intervals as iv_ops
 from pluvion.operators import near, spatial, verify
@@ -41,13 +42,18 @@ def iv(spark: SparkSession, sf: str) -> DataFrame:
     return win_ops.intervals(checked(spark, sf))
 
 
-def win(spark: SparkSession, sf: str) -> DataFrame:
-    return win_ops.trailing_windows(iv(spark, sf))
+def shared(spark: SparkSession, sf: str) -> DataFrame:
+    """The intervals, stored: for queries that use them more than once."""
+    return cut(iv(spark, sf))
 
 
-def catalog(spark: SparkSession, sf: str) -> DataFrame:
-    w = cut(win(spark, sf))
-    return cut(ev.event_catalog(w, ev.pot_thresholds(w)))
+def win(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
+    return win_ops.trailing_windows(iv(spark, sf) if base is None else base)
+
+
+def catalog(spark: SparkSession, sf: str, base: DataFrame | None = None, mode: str = "loose") -> DataFrame:
+    w = cut(win(spark, sf, base))
+    return cut(ev.event_catalog(w, ev.pot_thresholds(w, mode=mode), mode))
 
 
 def stations(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,12 +64,13 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.nearest_axis_cells(stations(spark, sf), table(spark, sf, "cv_imerg_grid_cells")).select("station_id", "lon_idx", "lat_idx")
 
 
-def grid(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(verify.smoothed_grid(win_ops.half_hour_bins(iv(spark, sf)), cells(spark, sf)))
+def grid(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
+    return cut(verify.smoothed_grid(win_ops.half_hour_bins(iv(spark, sf) if base is None else base), cells(spark, sf)))
 
 
-def matched(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(verify.event_match(catalog(spark, sf), cells(spark, sf), grid(spark, sf)))
+def matched(spark: SparkSession, sf: str, base: DataFrame | None = None, peaks: bool = False) -> DataFrame:
+    base = shared(spark, sf) if base is None else base
+    return cut(verify.event_match(catalog(spark, sf, base), cells(spark, sf), grid(spark, sf, base), peaks))
 
 
 # ---------------------------------------------------------------- shared inputs (SQL, formulated independently)
@@ -169,10 +176,7 @@ def station_filter_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT event_id, TRY_CAST(replace(nullif(nullif(trim(json_extract_string(props, '$.k')), ''), 'None'), ',', '.') AS DOUBLE) AS k FROM events""")
 def json_numeric_extract(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.trim(F.get_json_object("props", "$['k']"))
-    number = F.regexp_replace(F.when(~text.isin("", "None"), text), ",", ".")
-    plain = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-    return table(spark, sf, "events").select("event_id", F.when(number.rlike(plain), number.cast("double")).alias("k"))
+    return table(spark, sf, "events").select("event_id", scalars.json_number("props", "k").alias("k"))
 
 
 @query(sql(QC, "SELECT station_id, count(*) AS readings, round(sum(p), 4) AS precip_mm, count(inserted_ts) AS n_inserted FROM dd GROUP BY station_id"))
@@ -334,8 +338,9 @@ sp AS (SELECT e.station_id, e.window_min, e.end_min, count(n.neighbour_id) AS ne
 
 
 def supported(spark: SparkSession, sf: str) -> DataFrame:
+    base = shared(spark, sf)
     neighbours = spatial.radius_neighbours(stations(spark, sf)).select("station_id", "neighbour_id", "distance_km")
-    return ev.neighbour_support(catalog(spark, sf), neighbours, iv(spark, sf))
+    return ev.neighbour_support(catalog(spark, sf, base), neighbours, base)
 
 
 @query(sql(SUP, "SELECT *, neighbour_supporting > 0 AS neighbour_support FROM sp"))
@@ -354,8 +359,8 @@ TOP = EV + """,
 tp AS (SELECT * FROM (SELECT station_id, window_min, end_min, event_accum_mm, row_number() OVER (PARTITION BY window_min ORDER BY event_accum_mm DESC, end_min, station_id) AS rank FROM ev) WHERE rank <= 10)"""
 
 
-def top(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.top_per_group(catalog(spark, sf).select("station_id", "window_min", "end_min", "event_accum_mm"), ["window_min"], [F.col("event_accum_mm").desc(), F.col("end_min"), F.col("station_id")], 10)
+def top(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
+    return ev.top_per_group(catalog(spark, sf, base).select("station_id", "window_min", "end_min", "event_accum_mm"), ["window_min"], [F.col("event_accum_mm").desc(), F.col("end_min"), F.col("station_id")], 10)
 
 
 @query(sql(TOP, "SELECT * FROM tp"))
@@ -368,8 +373,9 @@ au AS (SELECT t.station_id, t.window_min, t.end_min, t.rank, k.neighbour_rank, k
   FROM tp t JOIN kn k USING (station_id) LEFT JOIN LATERAL (SELECT end_min, um, ud, (end_min - greatest(end_min - dur, t.end_min - t.window_min)) / dur::DOUBLE AS part FROM iv WHERE dur > 0 AND station_id = k.neighbour_id AND end_min > t.end_min - t.window_min AND end_min <= t.end_min) i ON true GROUP BY t.station_id, t.window_min, t.end_min, t.rank, k.neighbour_rank, k.neighbour_id, k.km)"""
 
 
-def audited(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.audit(top(spark, sf), spatial.nearest_neighbours(stations(spark, sf)), iv(spark, sf))
+def audited(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
+    base = shared(spark, sf) if base is None else base
+    return ev.audit(top(spark, sf, base), spatial.nearest_neighbours(stations(spark, sf)), base)
 
 
 @query(sql(AUD, "SELECT * FROM au"))
@@ -450,15 +456,20 @@ c3 AS (SELECT *, 'overlap' AS stride FROM c2 UNION ALL SELECT *, 'scale_stride'
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE {y} a AND {n} {c}) AS {p}_{k}" for p, c in (("point", "p"), ("best", "b")) for k, y, n in (("tp", "", ""), ("fp", "NOT", ""), ("fn", "", "NOT"), ("tn", "NOT", "NOT")))
 
 
-def ref_and_thresholds(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    ref = cut(win_ops.reference_windows(win_ops.half_hour_bins(iv(spark, sf))))
+def ref_and_thresholds(spark: SparkSession, sf: str, base: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    ref = cut(win_ops.reference_windows(win_ops.half_hour_bins(iv(spark, sf) if base is None else base)))
     return ref, ref.groupBy("station_id", "window_min").agg(F.round(F.percentile(F.when(F.col("strict") & (F.col("accum_mm") > 0), F.col("accum_mm")), 0.9), 6).alias("threshold_mm"))
 
 
-def confusion(spark: SparkSession, sf: str, keys: list[str], fields: DataFrame | None = None) -> DataFrame:
-    ref, gauge = ref_and_thresholds(spark, sf)
-    sat = cut(verify.satellite_windows(grid(spark, sf) if fields is None else fields, cells(spark, sf)))
-    return verify.window_confusion(ref, sat, gauge, keys)
+def at_gauges(spark: SparkSession, sf: str, fields: DataFrame, ref: DataFrame) -> DataFrame:
+    """Satellite windows at the stations that have readings."""
+    return cut(verify.satellite_windows(fields, cells(spark, sf).join(ref.select("station_id").distinct(), "station_id", "left_semi")))
+
+
+def confusion(spark: SparkSession, sf: str, keys: list[str], fields: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
+    base = shared(spark, sf) if base is None else base
+    ref, gauge = ref_and_thresholds(spark, sf, base)
+    return verify.window_confusion(ref, at_gauges(spark, sf, grid(spark, sf, base) if fields is None else fields, ref), gauge, keys)
 
 
 @query(sql(CONF, f"SELECT station_id, window_min, mode, stride, {_COUNTS} FROM c3 GROUP BY ALL"))
@@ -516,8 +527,9 @@ def areal_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bootstrap_counts_ci(spark: SparkSession, sf: str) -> DataFrame:
-    fields = grid(spark, sf)
-    daily = cut(confusion(spark, sf, ["window_min", "day"], fields))
+    base = shared(spark, sf)
+    fields = grid(spark, sf, base)
+    daily = cut(confusion(spark, sf, ["window_min", "day"], fields, base))
     return verify.bootstrap_counts(daily, fields.select(F.expr("(step * 30 + 30) div 1440").alias("day")))
 
 
@@ -535,7 +547,8 @@ disp AS (SELECT station_id, window_min, end_min, event_accum_mm, b[2] AS di, b[3
 
 
 def displaced(spark: SparkSession, sf: str) -> DataFrame:
-    return verify.displacement(catalog(spark, sf), cells(spark, sf), grid(spark, sf))
+    base = shared(spark, sf)
+    return verify.displacement(catalog(spark, sf, base), cells(spark, sf), grid(spark, sf, base))
 
 
 @query(sql(DISP, "SELECT * FROM disp"))
@@ -564,9 +577,9 @@ ps_ AS (SELECT station_id FROM (SELECT station_id, window_min, end_min, max(coal
 pol AS (SELECT station_id, window_min, end_min, max(coalesce(neighbour_accum_mm, 0)) AS max_neighbour_mm, station_id IN (SELECT station_id FROM ps_) AS excluded FROM au GROUP BY ALL)"""
 
 
-def policy(spark: SparkSession, sf: str) -> DataFrame:
+def policy(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     """Audited events with the decision: stations with two or more audited events and never any rain at a neighbour are excluded."""
-    per = cut(audited(spark, sf)).groupBy("station_id", "window_min", "end_min").agg(F.max(F.coalesce("neighbour_accum_mm", F.lit(0.0))).alias("max_neighbour_mm"))
+    per = cut(audited(spark, sf, base)).groupBy("station_id", "window_min", "end_min").agg(F.max(F.coalesce("neighbour_accum_mm", F.lit(0.0))).alias("max_neighbour_mm"))
     out = per.groupBy("station_id").agg(F.count("*").alias("n"), F.max("max_neighbour_mm").alias("m")).filter("n >= 2 AND m <= 0").select("station_id", F.lit(True).alias("x"))
     return per.join(out, "station_id", "left").select("station_id", "window_min", "end_min", "max_neighbour_mm", F.coalesce("x", F.lit(False)).alias("excluded"))
 
@@ -579,8 +592,9 @@ def outlier_policy(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql(POL + MATCHED.removeprefix(EV).replace(ST + ",\n", "", 1), """, b AS (SELECT 'baseline' AS scenario, * FROM matched UNION ALL SELECT 'filtered', * FROM matched WHERE (station_id, window_min, end_min) NOT IN (SELECT (station_id, window_min, end_min) FROM pol WHERE excluded))
 SELECT scenario, window_min, count(*) AS events, round(avg(grid_mm - event_accum_mm), 6) AS bias_mm, round(median(grid_mm / event_accum_mm), 6) AS median_ratio FROM b GROUP BY ALL"""))
 def policy_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    m = matched(spark, sf)
-    kept = m.join(policy(spark, sf).filter("excluded"), ["station_id", "window_min", "end_min"], "left_anti")
+    base = shared(spark, sf)
+    m = matched(spark, sf, base)
+    kept = m.join(policy(spark, sf, base).filter("excluded"), ["station_id", "window_min", "end_min"], "left_anti")
     both = m.withColumn("scenario", F.lit("baseline")).unionByName(kept.withColumn("scenario", F.lit("filtered")))
     return both.groupBy("scenario", "window_min").agg(F.count("*").alias("events"), F.round(F.avg(F.expr("grid_mm - event_accum_mm")), 6).alias("bias_mm"), F.round(F.percentile(F.expr("grid_mm / event_accum_mm"), 0.5), 6).alias("median_ratio"))
 
@@ -691,8 +705,9 @@ def fig_multiscale_skill(spark: SparkSession, sf: str) -> DataFrame:
 l AS (SELECT window_min, count(*) FILTER (WHERE accum_mm >= threshold_mm AND lo.m >= threshold_mm) AS tp, count(*) FILTER (WHERE NOT accum_mm >= threshold_mm AND lo.m >= threshold_mm) AS fp, count(*) FILTER (WHERE accum_mm >= threshold_mm AND NOT lo.m >= threshold_mm) AS fn, count(*) FILTER (WHERE NOT accum_mm >= threshold_mm AND NOT lo.m >= threshold_mm) AS tn FROM ar JOIN lo USING (station_id, ref_end, window_min) GROUP BY ALL)
 SELECT s.window_min, {verify.scores('point_tp', 'point_fp', 'point_fn', 'point_tn')['ets']} AS ets_point, {verify.scores('best_tp', 'best_fp', 'best_fn', 'best_tn')['ets']} AS ets_best, {_SC['ets']} AS ets_leave_one_out FROM s LEFT JOIN l USING (window_min)""".replace(CELL + ",", "", 0)))
 def fig_ets_curves(spark: SparkSession, sf: str) -> DataFrame:
-    ref, gauge = ref_and_thresholds(spark, sf)
-    sat = cut(verify.satellite_windows(grid(spark, sf), cells(spark, sf)))
+    base = shared(spark, sf)
+    ref, gauge = ref_and_thresholds(spark, sf, base)
+    sat = at_gauges(spark, sf, grid(spark, sf, base), ref)
     s = verify.window_confusion(ref, sat, gauge, ["window_min"]).filter("stride = 'scale_stride' AND mode = 'fixed'")
     s = s.select("window_min", F.expr(verify.scores("point_tp", "point_fp", "point_fn", "point_tn")["ets"]).alias("ets_point"), F.expr(verify.scores("best_tp", "best_fp", "best_fn", "best_tn")["ets"]).alias("ets_best"))
     loo = verify.areal_baseline(ref, areas(spark, sf), gauge).filter("subset = 'leave_one_out'").select("window_min", F.expr(_SC["ets"]).alias("ets_leave_one_out"))
@@ -707,7 +722,8 @@ ORACLES["fig_ets_curves"] = ORACLES["fig_ets_curves"].replace(AREA, AREA.replace
 
 def measured(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Matched events and displacements with distance, from one catalogue and grid."""
-    events, where, fields = catalog(spark, sf), cells(spark, sf), grid(spark, sf)
+    base = shared(spark, sf)
+    events, where, fields = catalog(spark, sf, base), cells(spark, sf), grid(spark, sf, base)
     moved = verify.with_distance(verify.displacement(events, where, fields), where, table(spark, sf, "cv_imerg_grid_cells"))
     return cut(verify.event_match(events, where, fields)), cut(moved)
 
@@ -743,8 +759,9 @@ def stratified_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def policy_skill(spark: SparkSession, sf: str) -> DataFrame:
     """Skill before and after the policy, and the filtered minus the baseline value of each metric."""
-    m = matched(spark, sf)
-    kept = m.join(policy(spark, sf).filter("excluded"), ["station_id", "window_min", "end_min"], "left_anti")
+    base = shared(spark, sf)
+    m = matched(spark, sf, base)
+    kept = m.join(policy(spark, sf, base).filter("excluded"), ["station_id", "window_min", "end_min"], "left_anti")
     both = m.withColumn("scenario", F.lit("baseline")).unionByName(kept.withColumn("scenario", F.lit("filtered")))
     return policy_rows(both)
 

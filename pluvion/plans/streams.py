@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pluvion.operators import late, stamps
+from pluvion.plans import stamp_sql
 from pluvion.session import scratch_folder, table
 from pluvion.streaming import late_stream
 
@@ -55,5 +56,6 @@ def stream_corrected_hours(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (stream_hourly_totals, stream_corrected_hours)}
 ORACLES = {
+    "stream_corrected_hours": stamp_sql.ORACLES["p2_hourly_rain"],
     "stream_hourly_totals": "SELECT event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start_s, count(*) AS readings, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
