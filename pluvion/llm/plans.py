@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pluvion.llm import leaks, packing, percentiles, splitting
@@ -67,7 +67,39 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_oversized(documents(spark, sf), 1024, 64)
 
 
-QUERIES = {f.__name__: f for f in (p7_rain_percentiles, p7_summary_percentiles, p7_combined_days, p8_packed, p8_bins, p9_found, p9_leaks, p10_pieces)}
+def p7_combined_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact percentiles of the stations, and whether each lies within the bounds of the combined days."""
+    exact = percentiles.exact_percentiles(table(spark, sf, "avamet_cv_qc"), ["station_id"], "precip_raw_mm", QS)
+    both = exact.join(p7_combined_days(spark, sf).select("station_id", "q", "low", "high"), ["station_id", "q"], "left")
+    return both.select("station_id", "q", "n", F.round("value", 9).alias("value"), F.coalesce((F.col("low") <= F.col("value")) & (F.col("value") <= F.col("high")), F.lit(False)).alias("within"))
+
+
+def p8_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """One row on all bins: documents, whether every token of each is there once, no bin is over, and few more than needed."""
+    sizes = cut(packing.token_counts(documents(spark, sf)))
+    packed = cut(packing.pack(sizes, 4096))
+    bins = packed.groupBy("bin_id").agg(F.sum("n_tokens").alias("fill")).agg(F.count("*").alias("bins"), F.sum("fill").alias("total"), F.sum((F.col("fill") > 4096).cast("bigint")).alias("bins_over_capacity"))
+    whole = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("s"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end")).join(sizes, "doc_id", "full_outer")
+    whole = whole.agg(F.count("*").alias("documents"), F.sum((~(F.col("s").eqNullSafe(F.col("n_tokens")) & F.col("end").eqNullSafe(F.col("n_tokens")))).cast("bigint")).alias("documents_incomplete"))
+    return spark.sql("SELECT documents, documents_incomplete, bins_over_capacity, bins <= ceil(total / 4096) * 1.01 + 1 AS few_bins FROM {w}, {b}", w=whole, b=bins)
+
+
+def p10_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """One row on all pieces: documents, and how many pieces or texts break a rule."""
+    docs = documents(spark, sf)
+    pieces = cut(p10_pieces(spark, sf))
+    beside = Window.partitionBy("doc_id").orderBy("piece")
+    rows = pieces.withColumns({"before_end": F.lag("end_char").over(beside), "following": F.lead("start_char").over(beside)})
+    rows = rows.join(docs, "doc_id").select(
+        (F.col("n_tokens") > 1024).alias("over"), (F.col("overlap_tokens") > 64).alias("long"), (F.coalesce(F.col("before_end"), F.lit(0)) < F.col("start_char")).alias("gap"),
+        (F.col("following").isNull() & (F.col("end_char") != F.length("text"))).alias("short"), (F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")) != F.col("piece_text")).alias("wrong"),
+    )
+    broken = rows.agg(*[F.coalesce(F.sum(F.col(c).cast("bigint")), F.lit(0)).alias(name) for c, name in (("over", "over_limit"), ("long", "overlap_too_long"), ("gap", "gaps"), ("short", "ends_missing"), ("wrong", "other_text"))])
+    missed = packing.token_counts(docs).filter("n_tokens > 1024").join(pieces.select("doc_id").distinct(), "doc_id", "left_anti").agg(F.count("*").alias("texts_missed"))
+    return spark.sql("SELECT (SELECT count(*) FROM {d}) AS documents, texts_missed, over_limit, overlap_too_long, gaps, ends_missing, other_text FROM {m}, {b}", d=docs, m=missed, b=broken)
+
+
+QUERIES = {f.__name__: f for f in (p7_rain_percentiles, p7_summary_percentiles, p7_combined_days, p7_combined_bounds, p8_packed, p8_bins, p8_totals, p9_found, p9_leaks, p10_pieces, p10_totals)}
 
 _Q = ", ".join(map(str, QS))
 ORACLES = {
@@ -80,4 +112,9 @@ SELECT source_table, station_id, unnest([{_Q}])::DOUBLE AS q, n, round(unnest(p)
 WITH v AS ({' UNION ALL '.join(f"SELECT window_min, '{m}' AS measure, {m} AS v FROM avamet_cv_events_station_scale_summary" for m in MEASURES)}),
 g AS (SELECT window_min, measure, count(*) AS n, quantile_cont(v, [{_Q}]) AS p FROM v WHERE v IS NOT NULL GROUP BY ALL)
 SELECT window_min, measure, unnest([{_Q}])::DOUBLE AS q, n, round(unnest(p), 9) AS value FROM g""",
+    "p7_combined_bounds": f"""
+WITH g AS (SELECT station_id, count(*) AS n, quantile_cont(precip_raw_mm, [{_Q}]) AS p FROM avamet_cv_qc WHERE precip_raw_mm IS NOT NULL GROUP BY station_id)
+SELECT station_id, unnest([{_Q}])::DOUBLE AS q, n, round(unnest(p), 9) AS value, true AS within FROM g""",
+    "p8_totals": "SELECT count(*) AS documents, 0 AS documents_incomplete, 0 AS bins_over_capacity, true AS few_bins FROM documents WHERE text IS NOT NULL",
+    "p10_totals": "SELECT count(*) AS documents, 0 AS texts_missed, 0 AS over_limit, 0 AS overlap_too_long, 0 AS gaps, 0 AS ends_missing, 0 AS other_text FROM documents",
 }
