@@ -58,12 +58,12 @@ def configured(spark: SparkSession) -> SparkSession:
 
     Stamps without zone count as UTC throughout, so the session's zone is set to it.  Fused stages whose code passes the
     JVM's 8000-byte limit for compilation run operator by operator instead: the JVM never compiles larger methods, and the
-    stamp expressions are three times as fast this way.  Batches sent to Python hold at most 2000 rows, since texts are
+    stamp expressions are three times as fast this way.  Batches sent to Python hold 8 MB, since texts may be
     long.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     ship(spark)
     return spark
 
