@@ -109,9 +109,9 @@ def event_metrics(rows: DataFrame, keys: list[str], sets: str) -> DataFrame:
 
     Detection, ratios (over all events and over those with a response), bias, errors, shares of events that are
     underestimated or without response, and the medians of both sides.  An event without grid rain counts as not
-    underestimated and not without response.
+    underestimated and not without response.  Halves of the last digit are rounded up, however they were added up.
     """
-    both = lambda name, f: ", ".join(f"round({f(c, n)}, 6) AS {name}_{k}" for k, c, n in (("point", "grid_mm", "positive_steps"), ("3x3", "grid3x3_mm", "positive_steps_3x3")))
+    both = lambda name, f: ", ".join(f"round({f(c, n)} + 1e-10D, 6) AS {name}_{k}" for k, c, n in (("point", "grid_mm", "positive_steps"), ("3x3", "grid3x3_mm", "positive_steps_3x3")))
     share = lambda test: f"avg(CASE WHEN {test} THEN 1.0D ELSE 0.0D END)"
     a = "event_accum_mm"
     return rows.sparkSession.sql(

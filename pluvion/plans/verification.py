@@ -154,7 +154,7 @@ def metrics_sql(distance: bool = False) -> str:
             "pod": share(f"{steps} > 0"), "median_ratio": f"median({c} / {a})", "median_ratio_hits": f"median({c} / {a}) FILTER (WHERE {steps} > 0)", "mean_ratio": f"avg({c} / {a})", "median_bias_mm": f"median({c} - {a})", "mae_mm": f"avg(abs({c} - {a}))",
             "rmse_mm": f"sqrt(avg(pow({c} - {a}, 2)))", "underestimate_fraction": share(f"{c} < {a}"), "zero_response_fraction": share(f"{c} <= 0"), "median_grid_mm": f"median({c})",
         }
-        out += [f"round({x}, 6) AS {name}_{k}" for name, x in named.items()]
+        out += [f"round({x} + 1e-10::DOUBLE, 6) AS {name}_{k}" for name, x in named.items()]
     return ", ".join(out + [f"round(median({a}), 6) AS median_gauge_mm"] + (["round(median(distance_km), 6) AS median_distance_km"] if distance else []))
 
 
