@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from pluvion.operators import intervals, late, near, regular, spikes, stamps
 from pluvion.plans import stamp_sql
-from pluvion.session import table
+from pluvion.session import spread, table
 
 
 def records(spark: SparkSession, sf: str, *columns: str, arrived_too: bool = True) -> DataFrame:
     """raw_window's columns with both stamps as instants (t_ms, n_ms), or only the first."""
     raw = table(spark, sf, "raw_window").select("ingest_order", "station_id", "timestamp_utc", "inserted_ts", *columns)
-    return stamps.normalise_stamps(raw, table(spark, sf, "station_clocks"), arrived_too=arrived_too).drop("timestamp_utc", "inserted_ts")
+    return stamps.normalise_stamps(spread(raw), table(spark, sf, "station_clocks"), arrived_too=arrived_too).drop("timestamp_utc", "inserted_ts")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return stamps.found_stamps(table(spark, sf, "raw_window"), table(spark, sf, "station_clocks"))
+    return stamps.found_stamps(spread(table(spark, sf, "raw_window").select("ingest_order", "station_id", "timestamp_utc", "inserted_ts")), table(spark, sf, "station_clocks"))
 
 
 def p1_instants(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pluvion.functions import scalars
 from pluvion.operators import events as ev
-from pluvion.operators import spatial, verify
+from pluvion.operators import near, spatial, verify
 from pluvion.operators import windows as win_ops
 from pluvion.plans import reference as ref
 from pluvion.plans.reference import sql
@@ -101,9 +101,9 @@ def support_statistics(spark: SparkSession, sf: str) -> DataFrame:
     w = cut(ref.win(spark, sf, base))
     thr = cut(ev.pot_thresholds(w))
     events = cut(ev.event_catalog(w, thr))
-    near = spatial.radius_neighbours(ref.stations(spark, sf)).select("station_id", "neighbour_id", "distance_km")
+    beside = spatial.radius_neighbours(ref.stations(spark, sf)).select("station_id", "neighbour_id", "distance_km")
     keys = ["station_id", "window_min", "end_min"]
-    es = ev.neighbour_support(events, near, base).join(events.select(*keys, "suspect_count", "event_rate_mmh"), keys).groupBy("window_min").agg(
+    es = ev.neighbour_support(events, beside, base).join(events.select(*keys, "suspect_count", "event_rate_mmh"), keys).groupBy("window_min").agg(
         F.count("*").alias("n_events"), pct("suspect_count > 0").alias("suspect_pct"), pct("neighbour_support").alias("supported_pct"), pct("neighbour_support AND suspect_count = 0").alias("supported_clean_pct"),
         q("neighbour_supporting", 0.5).alias("median_supporting"), q("event_rate_mmh", 0.5).alias("median_rate_mmh"), q("event_rate_mmh", 0.9).alias("p90_rate_mmh"),
     )
@@ -146,6 +146,13 @@ def event_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("station_id", "window_min", "end_min", "grid_peak_mmh", "grid3x3_peak_mmh", F.round(F.col("grid_mm") * 60 / F.col("window_min"), 6).alias("grid_rate_mmh"))
 
 
+@query(sql(ref.ST, """SELECT station_id, m[1] AS lon_idx, m[2] AS lat_idx FROM (SELECT s.station_id, max((c.lon_idx, c.lat_idx)) AS m FROM st s JOIN cv_imerg_grid_cells c ON s.lon BETWEEN round(c.lon - 0.05, 6) AND round(c.lon + 0.05, 6) AND s.lat BETWEEN round(c.lat - 0.05, 6) AND round(c.lat + 0.05, 6) GROUP BY s.station_id)"""))
+def region_last_match(spark: SparkSession, sf: str) -> DataFrame:
+    """The region of each station where borders belong to all regions beside them and the last one counts."""
+    rows = near.containing(ref.stations(spark, sf), near.cell_edges(table(spark, sf, "cv_imerg_grid_cells")), "station_id", closed=True)
+    return rows.groupBy("station_id").agg(F.max("region").alias("r")).select("station_id", "r.lon_idx", "r.lat_idx")
+
+
 def metrics_sql(distance: bool = False) -> str:
     a, out = "event_accum_mm", ["count(*) AS events", "count(DISTINCT station_id) AS stations"]
     share = lambda test: f"avg(CASE WHEN {test} THEN 1.0 ELSE 0.0 END)"
@@ -215,9 +222,9 @@ def policy_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Audited events with the evidence as text, excluded ones first, then by window and size (a report of forty events)."""
     base = ref.shared(spark, sf)
     keys = ["station_id", "window_min", "end_min"]
-    near = spatial.radius_neighbours(ref.stations(spark, sf)).select("station_id", "neighbour_id", "distance_km")
+    beside = spatial.radius_neighbours(ref.stations(spark, sf)).select("station_id", "neighbour_id", "distance_km")
     events = ref.catalog(spark, sf, base)
-    rows = ref.policy(spark, sf, base).join(ev.neighbour_support(events, near, base).select(*keys, "neighbour_candidates", "neighbour_supporting"), keys).join(events.select(*keys, "suspect_count", "event_accum_mm"), keys)
+    rows = ref.policy(spark, sf, base).join(ev.neighbour_support(events, beside, base).select(*keys, "neighbour_candidates", "neighbour_supporting"), keys).join(events.select(*keys, "suspect_count", "event_accum_mm"), keys)
     text = F.concat(F.lit("suspect "), F.col("suspect_count"), F.lit(", support "), F.col("neighbour_supporting"), F.lit(" of "), F.col("neighbour_candidates"), F.lit(", nearest "), F.format_string("%.1f", "max_neighbour_mm"), F.lit(" mm"))
     first = Window.orderBy(F.col("excluded").desc(), "window_min", F.col("event_accum_mm").desc(), "end_min", "station_id")
     return rows.select(*keys, "excluded", text.alias("evidence"), F.row_number().over(first).cast("bigint").alias("place"))

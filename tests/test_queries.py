@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 import verify_local
 
-NAMES = ["p4_found", "p6_found", "p6_grid_cell", "qc_station_summary", "qc_flags", "window_metrics_180", "event_catalog", "neighbor_support", "event_grid_match", "window_confusion_scale", "areal_baseline", "displacement", "stratified_skill", "stream_hourly_totals"]
+NAMES = ["p4_found", "p6_found", "p6_grid_cell", "qc_station_summary", "qc_flags", "window_metrics_180", "event_catalog", "neighbor_support", "event_grid_match", "window_confusion_scale", "areal_baseline", "displacement", "stratified_skill", "stream_hourly_totals", "p1_found", "p1_instants", "p2_found", "p3_found", "p6_pairs", "event_skill", "support_statistics", "window_confusion_catalog", "displacement_statistics", "region_last_match"]
 
 
 @pytest.fixture(scope="module")
