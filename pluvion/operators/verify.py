@@ -215,22 +215,22 @@ def displacement(events: DataFrame, cells: DataFrame, grid: DataFrame) -> DataFr
 def resampling(spark, replicates: int, blocks: int | dict[str, tuple[int, int]], seed: int = 42) -> DataFrame:
     """(replicate, block, times): how often each block is drawn, from numpy's generator, one draw of ``blocks`` integers a replicate.
 
-    With a dict of scope: (blocks, seed) each scope has its own draws, named in ``scope``.
+    With a dict of scope: (blocks, seed) each scope has its own draws, named in ``scope``.  A scope's draws follow from one
+    another, so one task makes them, replicate by replicate.
     """
-    scopes = blocks if isinstance(blocks, dict) else {None: (blocks, seed)}
+    scopes = blocks if isinstance(blocks, dict) else {"": (blocks, seed)}
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            wanted = set(b["id"].tolist())
-            for scope, (n, start) in scopes.items():
+            for scope, n, start in b[["scope", "blocks", "seed"]].itertuples(index=False):
                 rng = np.random.default_rng(start)
-                for r in range(max(wanted) + 1 if wanted else 0):
+                for r in range(replicates):
                     times = np.bincount(rng.integers(0, n, size=n), minlength=n)
-                    if r in wanted:
-                        at = np.flatnonzero(times)
-                        yield pd.DataFrame({"scope": [scope] * len(at), "replicate": r, "block": at, "times": times[at]})
+                    at = np.flatnonzero(times)
+                    yield pd.DataFrame({"scope": scope, "replicate": r, "block": at, "times": times[at]})
 
-    plan = spark.range(replicates).mapInPandas(draw, "scope string, replicate bigint, block bigint, times bigint")
+    rows = spark.createDataFrame([(k, int(n), int(s)) for k, (n, s) in scopes.items()], "scope string, blocks bigint, seed bigint").repartition(len(scopes))
+    plan = rows.mapInPandas(draw, "scope string, replicate bigint, block bigint, times bigint")
     return plan if isinstance(blocks, dict) else plan.drop("scope")
 
 
