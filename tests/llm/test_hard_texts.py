@@ -59,8 +59,8 @@ def test_no_items(docs, items):
     assert leaks.leaks(docs, items.filter("text IS NULL")).count() == 0
 
 
-def test_blocks_of_items_give_the_same(docs, items):
-    assert rows_of(leaks.leaks(docs, items, block_windows=5)) == rows_of(leaks.leaks(docs, items))
+def test_a_full_filter_gives_the_same(docs, items):
+    assert rows_of(leaks.leaks(docs, items, filter_bits=64)) == rows_of(leaks.leaks(docs, items))
 
 
 def test_every_item_is_packed_within_capacity(operators, docs):
@@ -88,5 +88,5 @@ def test_percentiles_of_hard_values(spark):
     rows = [("a", 1.0), ("a", 1.0), ("a", None), ("a", float("nan")), ("a", inf), ("a", -inf), ("a", -0.0), ("a", 0.0), (None, 5.0), (None, 7.0), ("only null", None), ("one", -5e-324)]
     df = spark.createDataFrame(rows, "g string, v double").withColumns({c: F.lit("7") for c in CLASHES})
     got = rows_of(percentiles.exact_percentiles(df, ["g"], "v", [0.0, 0.5, 1.0]), "g", "q", "n", "value")
-    want = [("a", 0.0, 4, 0.0), ("a", 0.5, 4, 0.5), ("a", 1.0, 4, 1.0), (None, 0.0, 2, 5.0), (None, 0.5, 2, 6.0), (None, 1.0, 2, 7.0), *[("one", q, 1, -5e-324) for q in (0.0, 0.5, 1.0)]]
+    want = [("a", 0.0, 6, -inf), ("a", 0.5, 6, 0.5), ("a", 1.0, 6, inf), (None, 0.0, 2, 5.0), (None, 0.5, 2, 6.0), (None, 1.0, 2, 7.0), *[("one", q, 1, -5e-324) for q in (0.0, 0.5, 1.0)]]
     assert got == sorted(want, key=repr)
