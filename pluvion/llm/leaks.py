@@ -31,8 +31,9 @@ UNITS = "mm cm m km in ft mi mg g kg lb oz ms us ns s sec secs min mins hr hrs h
 STRETCH, DENSE, MARGIN = 21, 5, 12
 #: A notice is at least so many successive windows; texts that hold one often also hold the rest of an item less than half the time.
 NOTICE_WINDOWS, ALONE = 12, 0.5
-#: Words that one diagonal may lie from the next where words were put in or left out.
-SHIFT = 3
+#: Words that one diagonal may lie from the next where words were put in or left out: a passage of which no part is one has
+#: at most 55 words, so at most six of them (24 words, six left out, 24 words).
+SHIFT = 6
 NAME_BITS = 22
 ESCAPED = np.array([ord(c) for c in "abfnrtv0"], dtype=np.uint32)
 
@@ -192,11 +193,13 @@ class HashFilter:
 
 
 def segments(docs: DataFrame, wanted: HashFilter, names: np.ndarray, key: str = "doc_id", text: str = "text", batch_chars: int = 1_000_000) -> DataFrame:
-    """(doc, segment, words, at, hash): stretches of each text where the items' windows are dense.
+    """(doc, segment, words, lead, inner, at, hash): stretches of each text where the items' windows are dense.
 
     25 words with up to three changed, put in or left out hold at least six whole windows of five words, so a stretch with
     fewer than DENSE hits within 21 windows holds no passage.  Every window of every text is looked up; only the stretches,
-    with a few words around them, leave the task.
+    with the words around them that a passage may reach, leave the task: where hits are not dense, at least four of 21 words
+    are changed, which is as much as less than twice the dense words allow.  The context, the dense words and MARGIN on
+    either side, is ``inner`` words from ``lead``; ``at`` counts from there.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,31 +226,54 @@ def segments(docs: DataFrame, wanted: HashFilter, names: np.ndarray, key: str =
                 seed = ~repeating(h)[p]
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(p) > 2 * MARGIN) | (np.diff(o) != 0)]))
                 for a, z in zip(new.tolist(), [*new[1:].tolist(), len(p)]):
-                    lo = max(firsts[o[a]], p[a] - MARGIN)
-                    hi = min(firsts[o[a] + 1], p[z - 1] + WINDOW + MARGIN)
+                    first, last, reach = firsts[o[a]], firsts[o[a] + 1], 2 * (p[z - 1] + WINDOW - p[a]) + STRETCH + WINDOW
+                    lo, begin = max(first, p[a] - reach), max(first, p[a] - MARGIN)
+                    hi, end = min(last, p[z - 1] + WINDOW + reach), min(last, p[z - 1] + WINDOW + MARGIN)
                     at = p[a:z][seed[a:z]]
-                    out.append((keys[i + o[a]], int(p[a] - firsts[o[a]]), exact[lo:hi].view(np.int64), at - lo, h[at].view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc", "segment", "words", "at", "hash"])
+                    out.append((keys[i + o[a]], int(p[a] - first), exact[lo:hi].view(np.int64), int(begin - lo), int(end - begin), at - begin, h[at].view(np.int64)))
+            yield pd.DataFrame(out, columns=["doc", "segment", "words", "lead", "inner", "at", "hash"])
 
     kind = dict(docs.dtypes)[key]
     chosen = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
-    return chosen.mapInPandas(rows, f"doc {kind}, segment bigint, words array<bigint>, at array<bigint>, hash array<bigint>")
+    return chosen.mapInPandas(rows, f"doc {kind}, segment bigint, words array<bigint>, lead int, inner int, at array<bigint>, hash array<bigint>")
 
 
-def _extended(s: int, e: int, gain: np.ndarray, cost: np.ndarray, notice: np.ndarray, reach: int = 40) -> tuple[int, int]:
-    """The longest passage around [s, e) that begins and ends with equal words and costs at most ALLOWED a word."""
-    bad = np.concatenate([[0], np.cumsum(cost)])
-    while e > s:
-        left, right = np.arange(max(0, s - reach), s + 1), np.arange(e, min(len(gain), e + reach) + 1)
-        left = left[(gain[left] > 0) & (left > np.max(np.flatnonzero(notice[:s]), initial=-1)) | (left == s)]
-        right = right[(gain[right - 1] > 0) & (right <= np.min(np.flatnonzero(notice[e:]), initial=len(gain)) + e) | (right == e)]
-        size = right[None, :] - left[:, None]
-        size = np.where(bad[right][None, :] - bad[left][:, None] <= ALLOWED * size, size, 0)
-        i, j = np.unravel_index(np.argmax(size), size.shape)
-        if size[i, j] <= e - s:
-            break
-        s, e = int(left[i]), int(right[j])
-    return s, e
+def _longest(equal: np.ndarray, cost: np.ndarray, lead: np.ndarray, notice: np.ndarray, first: np.ndarray | None = None) -> tuple[int, int]:
+    """The longest passage that begins and ends with equal words, holds no word of a notice and costs at most ALLOWED a word.
+
+    ``lead`` is the part of each word's cost that lies before it and doesn't count where a passage begins; a passage
+    that ends with a word begins at ``first`` of that word at the earliest, if given (never falling).
+    """
+    left = ALLOWED * np.arange(len(cost) + 1) - np.concatenate([[0], np.cumsum(cost)])  # allowance left, if all words before are taken
+    kept = np.flatnonzero(equal & ~notice)
+    best = (0, 0)
+    for s in np.split(kept, np.flatnonzero(np.diff(np.cumsum(notice)[kept])) + 1):
+        if not len(s) or s[-1] + 1 - s[0] <= best[1] - best[0]:
+            continue
+        begin, end = left[s] - lead[s], left[s + 1]
+        if first is None:  # the earliest beginning with no more left than the end
+            i = np.searchsorted(-np.minimum.accumulate(begin), -end)
+        else:
+            least = np.searchsorted(s, first[s])
+            i = np.array([f + int(np.argmax(begin[f : k + 1] <= end[k])) for k, f in enumerate(least.tolist())])
+        size = s + 1 - s[i]
+        k = int(np.argmax(size))
+        if size[k] > best[1] - best[0]:
+            best = int(s[i[k]]), int(s[k]) + 1
+    return best
+
+
+def _consistent_from(a: np.ndarray, b: np.ndarray, changed: np.ndarray) -> np.ndarray:
+    """For each word, the first one from which on every replaced word of ``a`` always became the same word of ``b``."""
+    last: dict[int, tuple[int, int, int]] = {}  # by replaced word: its present replacement, last place, last place of another one
+    out = np.zeros(len(a), dtype=np.int64)
+    for i in np.flatnonzero(changed).tolist():
+        x, y = int(a[i]), int(b[i])
+        now, place, other = last.get(x, (y, -1, -1))
+        other = other if now == y else place
+        last[x] = (y, i, other)
+        out[i] = other + 1
+    return np.maximum.accumulate(out)
 
 
 def notice_words(size: int, standing: np.ndarray, notice_windows: int = NOTICE_WINDOWS) -> np.ndarray:
@@ -261,14 +287,14 @@ def notice_words(size: int, standing: np.ndarray, notice_windows: int = NOTICE_W
     return notice
 
 
-def compare(words: np.ndarray, item: np.ndarray, shift: int | np.ndarray, standing: np.ndarray, penalty: float = 4.0, slots_free: bool = False, notice_windows: int = NOTICE_WINDOWS) -> tuple[int, int, int, int, bool]:
-    """Best passage of an item in a stretch: (first word, words, changed words, distinct replacements, consistent).
+def compare(words: np.ndarray, item: np.ndarray, shift: int | np.ndarray, standing: np.ndarray, slots_free: bool = False, notice_windows: int = NOTICE_WINDOWS) -> tuple[int, int, int, int, bool]:
+    """Longest passage of an item in a stretch: (first word, words, changed words, distinct replacements, consistent).
 
     Item word i stands beside text word i + ``shift`` (one number, or one for each item word); a step up in the shifts is
-    words put in, each of which is a changed word.  Equal words count +1, changed ones -``penalty``; the best-scoring run
-    is the passage, extended over outer stretches while about one word in ten is changed (three of 25; one in ten of
-    replaced slots).  With ``slots_free`` a number, unit or name in place of another one costs nothing.  Words of standing
-    notices end a passage.  The replacements are consistent if every replaced item word always became the same text word.
+    words put in, each of which is a changed word.  The passage is the longest of all in which about one word in ten is
+    changed (three of 25; one in ten of replaced slots).  With ``slots_free`` a number, unit or name in place of another
+    one costs nothing, and the replacements are consistent.  Words of standing notices end a passage.  The replacements
+    are consistent if every replaced item word always became the same text word.
     """
     at = np.arange(len(item)) + shift
     lo, hi = int(np.searchsorted(at, 0)), int(np.searchsorted(at, len(words)))
@@ -277,19 +303,17 @@ def compare(words: np.ndarray, item: np.ndarray, shift: int | np.ndarray, standi
     a, b, notice = item[lo:hi], words[at[lo:hi]], notice_words(len(item), standing, notice_windows)[lo:hi]
     put_in = np.maximum(np.diff(at[lo:hi], prepend=at[lo] - 1) - 1, 0)
     equal = a == b
-    gain = np.where(equal, 1.0, -penalty)
     slot = ~equal & ((a & 3) == (b & 3)) & ((a & 3) != 0)
-    if slots_free:
-        gain[slot] = 0.0
-    cost = np.where(gain >= 0, 0, np.where(slot, REPLACED, CHANGED)) + CHANGED * put_in
-    total = np.concatenate([[0.0], np.cumsum(np.where(notice, -1e9, gain - penalty * put_in))])
-    least = np.minimum.accumulate(total)
-    end = int(np.argmax(total - least))
-    start = int(np.flatnonzero(total[: end + 1] == least[: end + 1])[-1])
-    s, e = _extended(start, end, gain, cost, notice)
-    changed = ~equal[s:e]
-    pairs = set(zip(a[s:e][changed].tolist(), b[s:e][changed].tolist()))
-    return lo + s, e - s, int(changed.sum() + put_in[s + 1 : e].sum()), len(pairs), len({x for x, _ in pairs}) == len(pairs)
+    cost = np.where(equal, 0, np.where(slot, 0 if slots_free else REPLACED, CHANGED)) + CHANGED * put_in
+
+    def passage(first: np.ndarray | None = None) -> tuple[int, int, int, int, bool]:
+        s, e = _longest(equal, cost, CHANGED * put_in, notice, first)
+        changed = ~equal[s:e]
+        pairs = set(zip(a[s:e][changed].tolist(), b[s:e][changed].tolist()))
+        return lo + s, e - s, int(changed.sum() + put_in[s + 1 : e].sum()), len(pairs), len({x for x, _ in pairs}) == len(pairs)
+
+    found = passage()
+    return found if found[4] or not slots_free else passage(_consistent_from(a, b, ~equal))
 
 
 def aligned(words: np.ndarray, item: np.ndarray, shifts: np.ndarray, penalty: float = 4.0) -> np.ndarray:
@@ -332,15 +356,15 @@ def _reach(words: np.ndarray, item: np.ndarray, shifts: np.ndarray, span: int) -
 def best_passage(words: np.ndarray, item: np.ndarray, shifts: np.ndarray, counts: np.ndarray, standing: np.ndarray, least_words: int, least_windows: int = 2) -> tuple | None:
     """The longest passage: on single diagonals, then over neighbouring ones with enough windows together; copies before
     re-parameterised ones."""
-    single = shifts[counts >= 2]
+    single = shifts if least_windows < DENSE else shifts[counts >= 2]  # runs of repeated words seed by their ends only
     cuts = np.flatnonzero(np.diff(shifts) > SHIFT) + 1
     groups = [g for g, c in zip(np.split(shifts, cuts), np.split(counts, cuts)) if len(g) > 1 and c.sum() >= least_windows]
     paths = None
     for kind, free in (("copy", False), ("reparameterised", True)):
         found = [(kind, *compare(words, item, int(d), standing, slots_free=free)) for d in single]
         if max((f[2] for f in found), default=0) < least_words and groups:
-            if paths is None:  # a passage has at most this share of changed words, so a stretch of the least length has, too
-                most_changed = least_words * ALLOWED // CHANGED
+            if paths is None:  # some part of this length has at most so many changed words: all those of a passage that is too short to be parted
+                most_changed = (2 * least_words - 1) * ALLOWED // CHANGED
                 paths = [aligned(words, item, g) for g in groups if _reach(words, item, g, least_words) >= least_words - most_changed]
             found += [(kind, *compare(words, item, path, standing, slots_free=free)) for path in paths]
         found = [f for f in found if f[2] >= least_words and (f[5] or kind == "copy")]
@@ -358,8 +382,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     Standing notices don't count.  A notice is a part of several items (whose rest has at least ``least_words`` words), at
     least NOTICE_WINDOWS windows long, found in more than ``standing_least`` different contexts, at least half of them
     without anything that only one item has; or a part of one item that is found with the same ends in more than
-    ``sole_standing`` different contexts.  A context is a stretch with MARGIN words around it, however many texts hold it.
-    So an item that leaks as a whole is found whatever the number of texts, at every size of corpus.
+    ``sole_standing`` different contexts without the rest of the item (of at least ``least_words`` words that are no notice),
+    at least half of all contexts that hold this part; passages of that part with fewer than ``least_words`` words beyond
+    it, and without the rest of the item, don't count either.  A context is a stretch with MARGIN words around it, however many
+    texts hold it.  So an item that leaks as a whole, or in parts with different ends, is found whatever the number of
+    texts, at every size of corpus.
 
     The corpus is read once: a filter of at most ``filter_bits`` keeps the items' windows (and the more others, the fuller it
     is), which a hash join then tells apart.  Items
@@ -373,8 +400,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     windows = single.select("one", F.inline(F.arrays_zip(F.col("at").alias("item_at"), "hash")))
     owners = windows.select("hash", "one").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
     owners = cut(owners)
-    part = cut(segments(docs, HashFilter(owners.select("hash"), owners.count(), filter_bits), names, doc_key, text).withColumn("context", F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.reverse("words")).alias("b"))))
-    contexts = cut(part.groupBy("context").agg(F.first("words").alias("text_words"), F.max(F.struct(F.size("at").alias("n"), "at", "hash")).alias("h")).select("context", "text_words", "h.at", "h.hash"))
+    part = segments(docs, HashFilter(owners.select("hash"), owners.count(), filter_bits), names, doc_key, text).withColumn("dense", F.slice("words", F.col("lead") + 1, F.col("inner")))
+    stretch = F.struct(F.xxhash64("lead", "inner", "words").alias("a"), F.xxhash64(F.reverse("words"), "inner", "lead").alias("b"))
+    part = cut(part.withColumns({"context": F.struct(F.xxhash64("dense").alias("a"), F.xxhash64(F.reverse("dense")).alias("b")), "stretch": stretch}).drop("dense"))
+    contexts = cut(part.groupBy("context").agg(F.max(F.struct(F.size("at").alias("n"), "at", "hash")).alias("h")).select("context", "h.at", "h.hash"))
+    stretches = part.groupBy("context", "stretch").agg(F.first("words").alias("text_words"), F.first("lead").alias("lead"))
     hits = contexts.select("context", F.inline(F.arrays_zip("at", "hash"))).join(owners, "hash")
     # windows of several items in contexts that hold nothing of a single one
     alone = F.sum((F.col("owners") == 1).cast("int")).over(Window.partitionBy("context")) < 3
@@ -400,22 +430,33 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     # a passage holds at least DENSE different windows of the item, unless it has runs of repeated words, whose inner windows don't seed
     least = F.when(F.size("at") < F.size("words") - (WINDOW - 1), 2).otherwise(DENSE)
     asked = asked.join(single.select("one", "words", least.alias("least")), "one").filter("found >= least")
-    sides = asked.select("context", "one", F.col("s.shift").alias("shift"), "words", "least").join(contexts.select("context", "text_words"), "context").join(marked, "one", "left")
+    sides = asked.select("context", "one", F.col("s.shift").alias("shift"), F.col("s.i").alias("i"), "words", "least").join(stretches, "context").join(marked, "one", "left")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = np.zeros(0, dtype=np.int64)
         for b in batches:
             rows = []
-            for context, one, d, w, i, s, least in b.itertuples(index=False):
-                got = best_passage(w, i, *np.unique(d.astype(np.int64), return_counts=True), none if s is None else np.asarray(s), least_words, least)
+            for context, stretch, one, d, seeds, lead, w, i, s, least in b.itertuples(index=False):
+                s = none if s is None else np.asarray(s)
+                got = best_passage(w, i, *np.unique(d.astype(np.int64) + lead, return_counts=True), s, least_words, least)
                 if got:
-                    rows.append((context["a"], context["b"], one["a"], one["b"], len(i), *got))
-            yield pd.DataFrame(rows, columns=["ca", "cb", "oa", "ob", "size", "kind", "item_from", "n", "changed", "replacements", "consistent"])
-
-    passages = sides.select("context", "one", "shift", "text_words", "words", "standing_at", "least").mapInPandas(best, "ca bigint, cb bigint, oa bigint, ob bigint, size bigint, kind string, item_from bigint, n bigint, changed bigint, replacements bigint, consistent boolean")
-    passages = cut(passages.select(F.struct(F.col("ca").alias("a"), F.col("cb").alias("b")).alias("context"), F.struct(F.col("oa").alias("a"), F.col("ob").alias("b")).alias("one"), "size", F.expr("item_from div 8").alias("f"), F.expr("(item_from + n) div 8").alias("t"), F.struct("kind", "item_from", "n", "changed", "replacements", "consistent").alias("p")))
-    same_ends = passages.filter(F.col("p.n") <= F.col("size") - least_words).groupBy("one", "f", "t").count().filter(F.col("count") > sole_standing).select("one", "f", "t")
-    passages = passages.join(same_ends, ["one", "f", "t"], "left_anti")
+                    outside = seeds[(seeds <= got[1] - WINDOW) | (seeds >= got[1] + got[2])]
+                    own = len(i) - int(notice_words(len(i), s).sum())
+                    rest = own - got[2] < least_words or len(np.unique(outside)) >= 3  # found with the rest of the item, or nothing is left of it
+                    rows.append((context["a"], context["b"], stretch["a"], stretch["b"], one["a"], one["b"], not rest, *got))
+            yield pd.DataFrame(rows, columns=["ca", "cb", "sa", "sb", "oa", "ob", "part", "kind", "item_from", "n", "changed", "replacements", "consistent"])
+
+    passages = sides.select("context", "stretch", "one", "shift", "i", "lead", "text_words", "words", "standing_at", "least").mapInPandas(best, "ca bigint, cb bigint, sa bigint, sb bigint, oa bigint, ob bigint, part boolean, kind string, item_from bigint, n bigint, changed bigint, replacements bigint, consistent boolean")
+    pairs = {name: F.struct(F.col(name[0] + "a").alias("a"), F.col(name[0] + "b").alias("b")).alias(name) for name in ("context", "stretch", "one")}
+    passages = cut(passages.select(*pairs.values(), "part", F.expr("item_from div 8").alias("f"), F.expr("(item_from + n) div 8").alias("t"), F.struct("kind", "item_from", "n", "changed", "replacements", "consistent").alias("p")))
+    ends = passages.groupBy("one", "f", "t").agg(F.count_distinct("context").alias("n"), F.count_distinct(F.when(F.col("part"), F.col("context"))).alias("parts"), F.min("p.item_from").alias("first"), F.max(F.col("p.item_from") + F.col("p.n")).alias("end"))
+    repeated = ends.filter(F.col("parts") > sole_standing).select("one", "f", "t", "parts", "first", "end")
+    around = ends.select("one", F.col("f").alias("from"), F.col("t").alias("to"), "n")
+    middle = (F.col("f") + F.col("t")) / 2
+    same_ends = repeated.join(around, "one").filter((F.col("from") <= middle) & (middle <= F.col("to"))).groupBy("one", "f", "t", "parts", "first", "end").agg(F.sum("n").alias("n"))
+    same_ends = same_ends.filter(F.col("parts") >= ALONE * F.col("n")).select(F.col("one").alias("of"), "first", "end")
+    beyond = F.greatest(F.col("first") - F.col("p.item_from"), F.col("p.item_from") + F.col("p.n") - F.col("end"))
+    passages = passages.join(same_ends, F.col("part") & (F.col("one") == F.col("of")) & (beyond < least_words), "left_anti")
     order = F.struct((F.col("p.kind") == "copy").alias("k"), F.col("p.n").alias("n"), (-F.col("p.changed")).alias("c"), "p")
-    rows = passages.join(part.select("doc", "context"), "context").join(every.select("item", "one"), "one").groupBy("doc", "item").agg(F.max(order)["p"].alias("p"))
+    rows = passages.join(part.select("doc", "stretch"), "stretch").join(every.select("item", "one"), "one").groupBy("doc", "item").agg(F.max(order)["p"].alias("p"))
     return rows.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "p.kind", "p.item_from", F.col("p.n").alias("words"), "p.changed", "p.replacements", "p.consistent")
