@@ -31,6 +31,8 @@ UNITS = "mm cm m km in ft mi mg g kg lb oz ms us ns s sec secs min mins hr hrs h
 STRETCH, DENSE, MARGIN = 21, 5, 12
 #: A notice is at least so many successive windows; texts that hold one often also hold the rest of an item less than half the time.
 NOTICE_WINDOWS, ALONE = 12, 0.5
+#: Windows by which the ends of a notice may vary where words near them are changed.
+ENDS = 8
 #: Words that one diagonal may lie from the next where words were put in or left out: a passage of which no part is one has
 #: at most 55 words, so at most six of them (24 words, six left out, 24 words).
 SHIFT = 6
@@ -287,6 +289,19 @@ def notice_words(size: int, standing: np.ndarray, notice_windows: int = NOTICE_W
     return notice
 
 
+def with_same_ends(notice: np.ndarray, begin: np.ndarray, end: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs of ``notice`` words that at least half of the contexts, from window ``begin`` to window ``end`` of the item
+    (``count`` of each), hold with the same ends, give or take ENDS windows; parts of varying ends are no notice."""
+    edge = np.diff(np.concatenate([[0], notice.view(np.int8), [0]]))
+    out = notice.copy()
+    for first, last in zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - WINDOW).tolist()):
+        over = (begin <= last) & (end >= first)
+        same = (np.abs(begin - first) <= ENDS) & (np.abs(end - last) <= ENDS)
+        if count[same].sum() < ALONE * count[over].sum():
+            out[first : last + WINDOW] = False
+    return out
+
+
 def compare(words: np.ndarray, item: np.ndarray, shift: int | np.ndarray, standing: np.ndarray, slots_free: bool = False, notice_windows: int = NOTICE_WINDOWS) -> tuple[int, int, int, int, bool]:
     """Longest passage of an item in a stretch: (first word, words, changed words, distinct replacements, consistent).
 
@@ -381,7 +396,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
 
     Standing notices don't count.  A notice is a part of several items (whose rest has at least ``least_words`` words), at
     least NOTICE_WINDOWS windows long, found in more than ``standing_least`` different contexts, at least half of them
-    without anything that only one item has; or a part of one item that is found with the same ends in more than
+    without anything that only one item has, and at least half of these with the same ends; or a part of one item that is found with the same ends in more than
     ``sole_standing`` different contexts without the rest of the item (of at least ``least_words`` words that are no notice),
     at least half of all contexts that hold this part; passages of that part with fewer than ``least_words`` words beyond
     it, and without the rest of the item, don't count either.  A context is a stretch with MARGIN words around it, however many
@@ -408,21 +423,29 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     hits = contexts.select("context", F.inline(F.arrays_zip("at", "hash"))).join(owners, "hash")
     # windows of several items in contexts that hold nothing of a single one
     alone = F.sum((F.col("owners") == 1).cast("int")).over(Window.partitionBy("context")) < 3
-    often = hits.withColumn("alone", alone.cast("int")).filter("owners > 1").groupBy("hash", "context").agg(F.max("alone").alias("alone"))
+    several = hits.withColumn("alone", alone.cast("int")).filter("owners > 1")
+    often = several.groupBy("hash", "context").agg(F.max("alone").alias("alone"))
     often = often.groupBy("hash").agg(F.count("*").alias("n"), F.sum("alone").alias("alone")).filter((F.col("alone") > standing_least) & (F.col("alone") >= ALONE * F.col("n"))).select("hash", F.lit(True).alias("often"))
     marked = windows.join(often, "hash").groupBy("one").agg(F.collect_list("item_at").alias("standing_at"))  # an item's own windows
+    # where such contexts begin and end in each item
+    spans = several.filter("alone = 1").groupBy("context").agg(F.min_by("hash", "at").alias("first"), F.max_by("hash", "at").alias("last")).groupBy("first", "last").agg(F.count("*").alias("n"))
+    spans = spans.join(windows.select(F.col("hash").alias("first"), "one", F.col("item_at").alias("a")), "first").join(windows.select(F.col("hash").alias("last"), "one", F.col("item_at").alias("z")), ["last", "one"])
+    spans = spans.filter("a <= z").groupBy("one").agg(F.collect_list(F.struct("a", "z", "n")).alias("spans"))
 
     @F.pandas_udf("array<bigint>")
-    def proper(sizes: pd.Series, standing: pd.Series) -> pd.Series:
-        """Standing windows of an item that keeps enough words of its own; none otherwise."""
+    def proper(sizes: pd.Series, standing: pd.Series, a: pd.Series, z: pd.Series, counts: pd.Series) -> pd.Series:
+        """Standing windows of an item that keeps enough words of its own, in runs with the same ends; none otherwise."""
         out = []
-        for n, s in zip(sizes, standing):
+        for n, s, begin, end, count in zip(sizes, standing, a, z, counts):
             notice = notice_words(n, np.asarray(s))
+            if begin is not None:
+                notice = with_same_ends(notice, *(np.asarray(x) for x in (begin, end, count)))
             whole = np.convolve(notice, np.ones(WINDOW, int), "valid") == WINDOW
             out.append(np.flatnonzero(whole) if 0 < notice.sum() <= n - least_words else np.zeros(0, np.int64))
         return pd.Series(out)
 
-    marked = cut(marked.join(single, "one").select("one", proper(F.size("words"), "standing_at").alias("standing_at")).filter("size(standing_at) > 0"))
+    marked = marked.join(single, "one").join(spans, "one", "left")
+    marked = cut(marked.select("one", proper(F.size("words"), "standing_at", "spans.a", "spans.z", "spans.n").alias("standing_at")).filter("size(standing_at) > 0"))
     out_of = marked.select("one", F.explode("standing_at").alias("item_at"))
     seeds = hits.select("context", "at", "hash").join(windows.join(out_of, ["one", "item_at"], "left_anti"), "hash")
     pair = F.struct((F.col("at") - F.col("item_at")).cast("int").alias("shift"), F.col("item_at").cast("int").alias("i"))

@@ -74,3 +74,15 @@ def test_the_longest_part_with_consistent_replacements():
     text = item.copy()
     text[[10, 40, 60]] = 5001, 6001, 6001
     assert lk.compare(text, item, 0, NONE, slots_free=True) == (11, 89, 2, 1, True)
+
+
+def test_leaks_within_a_part_of_two_items(spark):
+    shared, docs = words(60), {}
+    item = shared + words(30)
+    while len(docs) < 200:
+        a, b = R.randint(0, 90), R.randint(0, 90)
+        if b - a >= 25:
+            docs[len(docs)] = " ".join(words(30) + item[a:b] + words(30))
+    d = spark.createDataFrame([*docs.items()], "doc_id bigint, text string")
+    i = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(shared + words(30)))], "item_id bigint, text string")
+    assert {r["doc_id"] for r in lk.leaks(d, i).filter("item_id = 1").collect()} == set(docs)
